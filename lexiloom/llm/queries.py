@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import quality
+from lexiloom.llm import decontam, quality
 from lexiloom.session import ship, table
 
 
@@ -14,6 +14,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(ship(spark), sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality": op2_quality}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.query(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality": op2_quality, "op6_decontaminate": op6_decontaminate}
 
 ORACLE_SQL: dict[str, str] = {}
