@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import decontam, quality
+from lexiloom.llm import bpe, decontam, pieces, quality, tokenfile
 from lexiloom.session import ship, table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(ship(spark), sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.count_tokens(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(ship(spark), sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality": op2_quality, "op6_decontaminate": op6_decontaminate}
+def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.query(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_quality, op3_token_counts, op4_sentencepiece, op6_decontaminate, op10_token_orc)
+}
 
 ORACLE_SQL: dict[str, str] = {}
