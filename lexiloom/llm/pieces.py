@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from lexiloom.session import ship
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 500_000
 PAIRS = 1_000_000
 #: A longer stretch is encoded but not kept.
 KEEP = 48
@@ -44,13 +44,17 @@ class PieceCodec:
         self.text = [model.id_to_piece(i) for i in range(n)]
         special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i)}
         self.byte_id = {int(self.text[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
-        self.silent = {i for i in special if model.is_control(i)}
+        byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = model.unk_id()
         self.end_id = model.eos_id()
-        self.ids = {p: i for i, p in enumerate(self.text) if i not in special and i not in self.byte_of}
+        self.ids = {p: i for i, p in enumerate(self.text) if i not in special and i not in byte_of}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a blank mark after another character: stretches can't be encoded alone")
+        self.number = [f"{i} " for i in range(n)]
+        #: Control pieces are silent.
+        self.spelt = [bytes([byte_of[i]]) if i in byte_of else (b"" if i in special else p.replace(MARK, " ").encode()) for i, p in enumerate(self.text)]
+        if model.unk_id() >= 0:
+            self.spelt[model.unk_id()] = " ⁇ ".encode()
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.single = {p for p in self.ids if len(p) == 1}
         self.inner = {c for p in self.ids for c in p} - self.single  # only inside longer pieces
@@ -100,6 +104,9 @@ class PieceCodec:
 
     def _known(self, text: str) -> list[str]:
         """Pieces of a text of which every character is a piece."""
+        straight = [p for _, p in self.matcher.iter_long(text)]  # the walk that never fails
+        if self._whole(straight[0]) and all(map(self.compatible, straight, straight[1:])):
+            return straight
         longest: list[str] = [""] * len(text)
         for end, p in self.matcher.iter(text):
             start = end - len(p) + 1
@@ -164,13 +171,7 @@ class PieceCodec:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Control pieces are silent; the first blank is the one that encoding put there."""
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                out.append(bytes([self.byte_of[i]]))
-            elif i not in self.silent:
-                out.append(self.text[i].replace(MARK, " ").encode() if i != self.unknown else " ⁇ ".encode())
-        text = b"".join(out).decode("utf-8", "replace")
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     def _look_up(self, stretches: list[str]) -> tuple[dict[str, str], dict[str, str]]:
@@ -188,7 +189,7 @@ class PieceCodec:
             kept, kept_text = dict(kept), dict(kept_text)  # for this text alone
         for s in sorted(new, key=len):
             ids = self.encode_stretch(s)
-            said = "".join(f"{i} " for i in ids), self.decode([*self._blank, *ids])
+            said = "".join(map(self.number.__getitem__, ids)), self.decode([*self._blank, *ids])
             for to in ([self.kept, kept] if len(s) <= KEEP and long else [kept]):
                 to[s] = said[0]
             for to in ([self.kept_text, kept_text] if len(s) <= KEEP and long else [kept_text]):
