@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, decontam, pieces, pii, quality, tokenfile
+from lexiloom.llm import bpe, decontam, pieces, pii, quality, sharding, tokenfile
 from lexiloom.session import ship, table
 
 
@@ -36,12 +36,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(table(ship(spark), sf_dir, "documents"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_token_counts, op4_sentencepiece, op6_decontaminate, op7_pii, op10_token_orc)
+    f.__name__: f for f in (op2_quality, op3_token_counts, op4_sentencepiece, op6_decontaminate, op7_pii, op8_hilbert_shards, op10_token_orc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
