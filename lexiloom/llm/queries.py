@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, decontam, pieces, pii, quality, sharding, tokenfile
+from lexiloom.llm import bpe, decontam, jaccard, pieces, pii, quality, sharding, tokenfile
 from lexiloom.session import ship, table
 
 
@@ -28,6 +28,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(ship(spark), sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(ship(spark), sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +49,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_token_counts, op4_sentencepiece, op6_decontaminate, op7_pii, op8_hilbert_shards, op10_token_orc)
+    f.__name__: f for f in (op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op10_token_orc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
