@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, decontam, jaccard, pieces, pii, quality, sharding, tokenfile
+from lexiloom.llm import bpe, decontam, html, jaccard, pieces, pii, quality, sharding, tokenfile
 from lexiloom.session import ship, table
 
 
@@ -16,6 +16,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.query(table(ship(spark), sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(ship(spark), sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op10_token_orc)
+    f.__name__: f for f in (op1_html_text, op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op10_token_orc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
