@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, decontam, html, jaccard, pieces, pii, quality, sharding, tokenfile
+from lexiloom.llm import bpe, decontam, html, jaccard, license, pieces, pii, quality, sharding, tokenfile
 from lexiloom.session import ship, table
 
 
@@ -48,12 +48,16 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(ship(spark), sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op10_token_orc)
+    f.__name__: f for f in (op1_html_text, op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op9_licenses, op10_token_orc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
