@@ -232,5 +232,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     return out
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that aren't contaminated, with docs' columns (none named _text)."""
+    others = tuple(c for c in docs.columns if c != "text")
+    found = contamination(docs.withColumn("_text", F.col("text")), benchmark, (*others, "_text"))
+    return found.where(~F.col("contaminated")).withColumn("text", F.col("_text")).select(*docs.columns)
+
+
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark).drop("item_ids")

@@ -149,6 +149,19 @@ def apply_policy(led: DataFrame, policy: Policy) -> DataFrame:
     return led.withColumns({"policy": F.lit(policy.name), "policy_version": F.lit(policy.version), "kept": ~rejected(policy)})
 
 
+def kept_rows(docs: DataFrame, policy: Policy) -> DataFrame:
+    """The rows of docs that the policy keeps, with docs' columns; measurements are dropped as
+    soon as the verdict is there."""
+    columns = docs.columns
+    clash = set(columns) & {*MEASURES, "fail_bits"}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(f"_{i}" if c in clash else c) for i, c in enumerate(columns)))
+    led = ledger(renamed.withColumn("_text", F.col("text")), (*(c for c in renamed.columns if c != "text"), "_text"))
+    back = {f"_{i}": c for i, c in enumerate(columns) if c in clash}
+    held = {"_text": "text"} | back
+    found = led.where(~rejected(policy)).select(*(F.col(f"`{c}`").alias(held.get(c, c)) for c in [*(x for x in renamed.columns if x != "text"), "_text"]))
+    return found.select(*(f"`{c}`" for c in columns))
+
+
 def ablation(led: DataFrame, policies: tuple[Policy, ...] = tuple(POLICIES.values())) -> DataFrame:
     """Per policy and rule: documents failing it, failing only it, and kept if it were left out.
     One aggregate of bit tests; its state is a few counters however many documents there are."""
