@@ -8,7 +8,7 @@ is left; a bitfield of positions from which no encoding goes on keeps it from fa
 
 Texts are cut where a run of the blank mark begins, and at control characters that are in no
 piece: no piece has a blank mark after another character, so no merge crosses such a cut. The results of short stretches are kept in a bounded
-table per worker; it is emptied when full.
+table per worker; what came last goes when it is full.
 
 Defined results: null and empty texts give the end id alone and decode to an empty text;
 characters outside the vocabulary become byte pieces; control pieces are never matched in text;
@@ -26,10 +26,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexiloom.llm.bpe import halve
 from lexiloom.session import ship
 
 MARK = "▁"
-CACHE = 500_000
+CACHE = 700_000
+PARTS = 300_000
 PAIRS = 1_000_000
 #: A longer stretch is encoded but not kept.
 KEEP = 48
@@ -63,13 +65,19 @@ class PieceCodec:
         self.stretch = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|[{cut}]" if cut else ""))
         self.matcher = ahocorasick.Automaton()
         for p in self.ids:
-            self.matcher.add_word(p, p)
+            self.matcher.add_word(p, self.ids[p])
         self.matcher.make_automaton()
-        self.shorter: dict[str, str | None] = {}
-        for p in self.ids:
-            self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None)
-        self.pair: dict[tuple[str, str], bool] = {}
-        self.kept: dict[str, str] = {}
+        self.width = n.bit_length()
+        self.length = [len(p) for p in self.text]
+        self.shorter = [-1] * n  # the longest piece that is a proper prefix
+        for p, i in self.ids.items():
+            self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
+        self.is_whole: list[bool | None] = [None] * n
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.parts: dict[str, list[int]] = {}
+        self.pair: dict[int, bool] = {}
+        self.kept = _Kept(self)
+        self.long: list[str] = []  # stretches to be forgotten after their text
         self.kept_text: dict[str, str] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -86,81 +94,92 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pair.get(key)
-        if known is None:
-            if len(self.pair) >= PAIRS:
-                self.pair.clear()
-            known = self.pair[key] = self.merge(left + right) == [left, right]
-        return known
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the texts of both pieces gives them back."""
+        if len(self.pair) >= PAIRS:
+            self.pair.clear()
+        a, b = self.text[left], self.text[right]
+        ok = self.pair[left << self.width | right] = self.merge(a + b) == [a, b]
+        return ok
 
-    def _whole(self, piece: str) -> bool:
+    def whole(self, piece: int) -> bool:
         """Whether merging the piece's own text gives the piece."""
-        known = self.pair.get((piece, ""))
-        if known is None:
-            known = self.pair[piece, ""] = self.merge(piece) == [piece]
-        return known
-
-    def _known(self, text: str) -> list[str]:
-        """Pieces of a text of which every character is a piece."""
-        straight = [p for _, p in self.matcher.iter_long(text)]  # the walk that never fails
-        if self._whole(straight[0]) and all(map(self.compatible, straight, straight[1:])):
-            return straight
-        longest: list[str] = [""] * len(text)
-        for end, p in self.matcher.iter(text):
-            start = end - len(p) + 1
-            if len(p) > len(longest[start]):
-                longest[start] = p
-        open_ = (1 << (len(text) + 1)) - 1 if len(text) <= 256 else None
-        failed = bytearray(len(text) + 1) if open_ is None else None
-        out: list[str] = []
-        at, piece = 0, longest[0]
-        while at < len(text):
-            last = out[-1] if out else None
-            while piece is not None:
-                end = at + len(piece)
-                free = open_ >> end & 1 if failed is None else not failed[end]
-                if free and (self._whole(piece) if last is None else self.compatible(last, piece)):
+        ok = self.is_whole[piece]
+        if ok is None:
+            ok = self.is_whole[piece] = self.merge(self.text[piece]) == [self.text[piece]]
+        return ok
+
+    def _known(self, text: str) -> list[int]:
+        """Ids of the pieces of a text of which every character is a piece."""
+        longest, known, width, length = self.matcher.iter_long, self.pair.get, self.width, self.length
+        straight = [p for _, p in longest(text)]  # the walk that never fails
+        done = 0
+        if self.whole(straight[0]):
+            last, done = straight[0], 1
+            for piece in straight[1:]:
+                ok = known(last << width | piece)
+                if not (self.compatible(last, piece) if ok is None else ok):
                     break
-                piece = self.shorter[piece]
-            if piece is not None:
+                last = piece
+                done += 1
+            else:
+                return straight
+        first, at = {}, 0
+        for i, p in enumerate(straight):
+            if i == done:
+                begin = at
+            first[at] = p
+            at += length[p]
+        size, closed, shorter = len(text), 0, self.shorter
+        out, at, piece = straight[:done], begin, straight[done]
+        while at < size:
+            last = out[-1] if out else -1
+            while piece >= 0:
+                if not closed >> (at + length[piece]) & 1:
+                    ok = self.whole(piece) if last < 0 else known(last << width | piece)
+                    if self.compatible(last, piece) if ok is None else ok:
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
                 out.append(piece)
-                at = end
-                piece = longest[at] if at < len(text) else None
+                at += length[piece]
+                if at < size:
+                    piece = first.get(at, -1)
+                    if piece < 0:
+                        piece = first[at] = next(longest(text, at))[1]
                 continue
-            if last is None:
+            if last < 0:
                 raise AssertionError(f"no encoding of {text!r}")  # its characters are all pieces
-            if failed is None:
-                open_ &= ~(1 << at)
-            else:
-                failed[at] = 1
+            closed |= 1 << at  # the bitfield of positions from which nothing goes on
             out.pop()
-            at -= len(last)
+            at -= length[last]
             piece = last  # its end is closed now, so its prefixes come next
         return out
 
     def encode_stretch(self, text: str) -> list[int]:
+        """Ids; no piece crosses a place where it would have two characters side by side that no
+        piece has, so what lies between such places is encoded on its own, and kept."""
         out: list[int] = []
-        if self.inner and not self.inner.isdisjoint(text):
-            pieces = self.merge(text)
+        joins, at, last = self.joins, 0, len(text)
+        for i in range(1, last):
+            if text[i - 1 : i + 1] not in joins:
+                out += self.parts.get(text[at:i]) or self._part(text[at:i])
+                at = i
+        return out + (self.parts.get(text[at:]) or self._part(text[at:]))
+
+    def _part(self, text: str) -> list[int]:
+        if len(text) == 1 or (self.inner and not self.inner.isdisjoint(text)):
+            found = []
+            for p in self.merge(text):
+                i = self.ids.get(p)
+                found += [i] if i is not None else ([self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unknown])
         else:
-            pieces, at = [], 0
-            for i, c in enumerate(text):
-                if c not in self.single:
-                    pieces += self._known(text[at:i]) if i > at else []
-                    pieces.append(c)
-                    at = i + 1
-            pieces += self._known(text[at:]) if at < len(text) else []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.byte_id:
-                out += [self.byte_id[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+            found = self._known(text)
+        if len(text) <= KEEP:
+            if len(self.parts) >= PARTS:
+                halve(self.parts)
+            self.parts[text] = found
+        return found
 
     def stretches(self, text: str) -> list[str]:
         return self.stretch.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -174,43 +193,39 @@ class PieceCodec:
         text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def _look_up(self, stretches: list[str]) -> tuple[dict[str, str], dict[str, str]]:
-        """Tables that have the ids as text, a blank after each, and the decoded text of each stretch."""
-        kept, kept_text = self.kept, self.kept_text
-        new = [s for s in set(stretches) if s not in kept]
-        if not new:
-            return kept, kept_text
-        if len(kept) + len(new) > CACHE:
-            kept.clear()
-            kept_text.clear()
-            new = list(set(stretches))
-        long = [s for s in new if len(s) > KEEP]
-        if long:
-            kept, kept_text = dict(kept), dict(kept_text)  # for this text alone
-        for s in sorted(new, key=len):
-            ids = self.encode_stretch(s)
-            said = "".join(map(self.number.__getitem__, ids)), self.decode([*self._blank, *ids])
-            for to in ([self.kept, kept] if len(s) <= KEEP and long else [kept]):
-                to[s] = said[0]
-            for to in ([self.kept_text, kept_text] if len(s) <= KEEP and long else [kept_text]):
-                to[s] = said[1]
-        return kept, kept_text
-
-    @property
-    def _blank(self) -> list[int]:
-        return [self.ids[MARK]]  # decode() takes the first blank away
-
     def encoded(self, text: str) -> tuple[str, int, str]:
         """Ids with the end id, as decimals between blanks; how many; what they decode to."""
         stretches = self.stretches(text)
         if not stretches:
             return str(self.end_id), 1, ""
-        kept, kept_text = self._look_up(stretches)
-        said = "".join(map(kept.__getitem__, stretches))
-        decoded = "".join(map(kept_text.__getitem__, stretches))
+        if len(self.kept) > CACHE:
+            halve(self.kept)
+            halve(self.kept_text)
+        said = "".join(map(self.kept.__getitem__, stretches))
+        decoded = "".join(map(self.kept_text.__getitem__, stretches))
+        if self.long:
+            for s in self.long:
+                del self.kept[s], self.kept_text[s]
+            self.long.clear()
         return f"{said}{self.end_id}", said.count(" ") + 1, decoded[1:] if decoded.startswith(" ") else decoded
 
 
+class _Kept(dict):
+    """The ids of stretches, each followed by a blank; decoded texts go beside them."""
+
+    def __init__(self, codec: PieceCodec):
+        self.codec = codec
+
+    def __missing__(self, stretch: str) -> str:
+        c = self.codec
+        ids = c.encode_stretch(stretch)
+        if len(stretch) > KEEP:
+            c.long.append(stretch)
+        c.kept_text[stretch] = b"".join(map(c.spelt.__getitem__, ids)).decode("utf-8", "replace")
+        said = self[stretch] = "".join(map(c.number.__getitem__, ids))
+        return said
+
+
 _codecs: dict[str, PieceCodec] = {}
 
 
