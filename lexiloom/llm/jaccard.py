@@ -14,12 +14,15 @@ A shingle that occurs once is in no other set, so nothing is posted for it. The
 counts only approximately, and any order gives the same links, so they come as a bitmap of fixed
 size (shingles seen again) and a table of at most HOT_KEYS frequent ones; both are broadcast.
 
-Lists aren't expanded into pairs. A list is scanned in order and all of it is compared with its
-first document only. Documents so linked get one label. Where a list still holds several labels,
-other pivots are compared with what isn't under their label, for some rounds, and then what
-remains is compared exactly, without pairs that the triangle inequality of the Jaccard distance to a common
-pivot rules out or whose sizes do. So no link between different texts is lost, and a group of m
-near copies costs about m comparisons. Frequent keys are dealt over salts.
+Lists aren't expanded into pairs. Lists with the same documents are kept once. A list is scanned
+in order and all of it is compared with its first document only. Documents so linked get one
+label. Where a list still holds several labels, what isn't under its most frequent label is
+compared with documents that are, others for each list, for some rounds; then the rest is
+compared pair by pair. Pairs are left out only where a bound proves that they can't link: two sets
+share at most what comes after their first common key in the order, nothing that occurs once,
+and in each part of the fingerprints no more than the lesser has there; and the Jaccard distance
+keeps the triangle inequality. So no link between different texts is lost, and
+a group of m near copies costs about m comparisons. Frequent keys are dealt over salts.
 
 Defined results: null, empty and word-less texts have an empty set, n_shingles 0 and themselves
 as component; equal texts share a component; rows with one doc_id are one node; a null doc_id
@@ -46,13 +49,14 @@ from lexiloom.session import ship
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # J >= 0.75
-BITMAP_BITS = 28  # 32 MB, however large the corpus
-HOT_KEYS = 1 << 19  # 8 MB
+BITMAP_BITS = 27  # 16 MB, however large the corpus
+HOT_KEYS = 1 << 19  # 4 MB of keys and as much of counts
 HOT_COUNT = 64
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 LARGEST_LIGHT = 48
-ROUNDS = 4
+ROUNDS = 2
 SALT = 64
+SKETCH = 64
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xB5026F5AA96619E9)
 
@@ -193,30 +197,33 @@ class Order:
             level[on[same]] = self.level_of[i[same]]
         return level
 
-    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a set, and whether each is frequent."""
-        n = len(s)
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Keys of a set, whether each is frequent, how many shingles that occur again may come
+        after it in the order, and how many occur again."""
+        n, none = len(s), (s[:0], np.zeros(0, bool), np.zeros(0, np.int64), 0)
         if n == 0:
-            return s, np.zeros(0, bool)
+            return none
         level = self.levels(s)
         light = n <= self.boundary
         p = n - needed(n) + (2 if light else 1)
         first = int((level == 0).sum())
         if first >= p:
-            return s[:0], np.zeros(0, bool)
+            return none
         order = np.argsort(level, kind="stable")[:p]
         head, level = s[order][first:], level[order][first:]  # what occurs once is in no other set
-        keys, hot = [], []
+        keys, hot, after = [], [], []
         if not light or n >= needed(self.boundary + 1):  # may link with a heavy set
             k = n - needed(n) + 1 - first
             keys.append(head[: max(k, 0)])
             hot.append(level[: max(k, 0)] > 1)
+            after.append(n - first - 1 - np.arange(len(keys[-1])))
         if light and len(head) > 1:
             i, j = np.triu_indices(len(head), 1)
             a, b = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
             keys.append(K.mix(a * _PAIR + K.mix(b)))
             hot.append((level[i] > 1) & (level[j] > 1))
-        return (np.concatenate(keys), np.concatenate(hot)) if keys else (s[:0], np.zeros(0, bool))
+            after.append(np.full(len(i), n - first - 1))
+        return (np.concatenate(keys), np.concatenate(hot), np.concatenate(after), n - first) if keys else none
 
 
 def choose_boundary(sizes: dict[int, int], again: float, list_length: float, largest: int = LARGEST_LIGHT) -> int:
@@ -252,76 +259,109 @@ def common_order(docs: DataFrame, sets: DataFrame, bitmap_bits: int = BITMAP_BIT
     return Order(bits, bitmap, keys[order].astype(np.uint64), freq[order], boundary)
 
 
+POSTING = "key bigint, salt int, doc bigint, n bigint, again bigint, after bigint"
+
+
 def _poster(shared):
-    """(key, salt, doc_id, n) of the postings; sets met before in this task are linked by digest."""
+    """Postings: key, salt, doc, n, how many of its shingles occur again, and how many of them come after."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, _Seen()
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, sets in _sets_of(batch):
-                keys, salts, docs, sizes = [], [], [], []
+                keys, salts, sizes, docs, afters = [], [], [], [], []
                 for i, s in enumerate(sets):
                     if not len(s):
                         continue
-                    k, hot = order.keys(s)
+                    k, hot, after, again = order.keys(s)
                     if len(k) and seen.new(s):
                         doc = int(ids[a + i])
                         keys.append(k)
                         salts.append(np.where(hot, 1 + hash(doc) % SALT, 0))
-                        docs.append(np.full(len(k), doc))
-                        sizes.append(np.full(len(k), len(s)))
+                        docs.append((doc, len(s), again))
+                        sizes.append(len(k))
+                        afters.append(after)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int32()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes), pa.int64())], ["key", "salt", "doc", "n"])
+                    rest = np.repeat(np.array(docs, np.int64), sizes, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T), pa.array(np.concatenate(afters))], ["key", "salt", "doc", "n", "again", "after"])
 
     return run
 
 
 def _texts(shared):
-    """(doc, z): compressed texts of documents that post anything."""
+    """(doc, z, sketch) of documents that post anything: the compressed text, and how many of the
+    set's shingles that occur again are in each of SKETCH equal parts of the fingerprints."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen, press = shared.value, _Seen(), zstandard.ZstdCompressor(level=1)
         for batch in it:
             text = batch.column(1)
             for a, _, sets in _sets_of(batch):
-                keep = [a + i for i, s in enumerate(sets) if len(s) and len(order.keys(s)[0]) and seen.new(s)]
+                keep = [i for i, s in enumerate(sets) if len(order.keys(s)[0]) and seen.new(s)]
                 if keep:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([press.compress(text[i].as_buffer()) for i in keep], pa.binary())], ["doc", "z"])
+                    parts = [np.bincount((sets[i][order.levels(sets[i]) > 0] >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) for i in keep]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + i for i in keep])), pa.array([press.compress(text[a + i].as_buffer()) for i in keep], pa.binary()), pa.array(parts, pa.list_(pa.int32()))], ["doc", "z", "sketch"])
 
     return run
 
 
+LIST = "key bigint, salt int, doc bigint, n bigint, again bigint, after bigint, pivot bigint, pivot_n bigint, pivot_again bigint"
+
+
 def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted postings -> those of lists with several documents, each with its list's first one.
-    A salted list's first document alone stands for it, so it always goes on."""
-    key = salt = first = size = None  # of the list that is open
-    alone = None
-    names = ["key", "salt", "doc", "n", "pivot", "pivot_n"]
+    A list inside one batch gets a fingerprint of its documents as key, so that equal lists can
+    be told. A salted list keeps its key, and goes on even if it has one document."""
+    names = ["key", "salt", "doc", "n", "again", "after"]
+    held: list[np.ndarray] | None = None  # the list that may go on in the next batch
+    goes_on: tuple | None = None  # a long list, part of which is out: key, salt and its first row
+
+    def out(rows: list[np.ndarray], pivot: tuple | None = None) -> pa.RecordBatch | None:
+        key, salt = rows[0], rows[1]
+        if not len(key):
+            return None
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        size = np.diff(np.append(begin, len(key)))
+        keep = (salt > 0) | (size[group] > 1) | (pivot is not None)
+        if pivot is None:
+            docs = K.mix(rows[2].astype(np.uint64))
+            same = K.mix(np.add.reduceat(docs, begin) + size.astype(np.uint64) * _WHOLE).view(np.int64)[group]
+            first = [c[begin][group] for c in rows[2:5]]
+        else:
+            same, first = key, [np.full(len(key), x) for x in pivot]
+        key = np.where(salt > 0, key, same)
+        columns = [key[keep], salt[keep].astype(np.int32), *(c[keep] for c in rows[2:]), *(c[keep] for c in first)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "pivot", "pivot_n", "pivot_again"]) if keep.any() else None
+
     for batch in it:
         if not batch.num_rows:
             continue
-        k, s, d, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        new[0] = key is None or k[0] != key or s[0] != salt
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        pivot, pivot_n = d[begin], n[begin]
-        count = np.bincount(group[group >= 0], minlength=len(begin))
-        p = np.where(group >= 0, pivot[group] if len(begin) else 0, first or 0)
-        pn = np.where(group >= 0, pivot_n[group] if len(begin) else 0, size or 0)
-        keep = (group < 0) | (s > 0) | (count[group] > 1 if len(begin) else False)
-        out = [k[keep], s[keep], d[keep], n[keep], p[keep], pn[keep]]
-        if alone is not None and group[0] < 0:  # the open list goes on: its first row, held back, too
-            out = [np.concatenate([[x], y]) for x, y in zip(alone, out, strict=True)]
-            alone = None
-        if len(begin):
-            last = begin[-1]
-            alone = (k[last], s[last], d[last], n[last], d[last], n[last]) if count[-1] == 1 and s[last] == 0 else None
-            key, salt, first, size = k[last], s[last], d[last], n[last]
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if c == "salt" else np.int64)) for c, x in zip(names, out, strict=True)], names)
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        if goes_on is not None:
+            same = int(((rows[0] == goes_on[0]) & (rows[1] == goes_on[1])).sum())  # sorted: they come first
+            if same:
+                yield out([c[:same] for c in rows], goes_on[2])
+            if same == batch.num_rows:
+                continue
+            rows, goes_on = [c[same:] for c in rows], None
+        if held is not None:
+            rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            held = None
+        last = int(np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0])
+        if (made := out([c[:last] for c in rows])) is not None:
+            yield made
+        held = [c[last:] for c in rows]
+        if len(held[0]) > 20_000:
+            first = tuple(c[0] for c in held[2:5])
+            goes_on = (held[0][0], held[1][0], first)
+            yield out(held, first)
+            held = None
+    if held is not None and (made := out(held)) is not None:
+        yield made
 
 
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,8 +396,25 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return got.select("*", (F.col("shared") * DEN >= F.col("either") * NUM).alias("linked"), (1 - F.col("shared") / F.col("either")).alias("far"))
 
 
-def near_sizes(x: str, y: str):
-    return (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
+def may_link(x: str, y: str):
+    """Sets x and y (columns <x>_n and <x>_again) share at most what either has of others."""
+    most = F.least(F.col(f"{x}again"), F.col(f"{y}again"))
+    return most * DEN >= (F.col(f"{x}n") + F.col(f"{y}n") - most) * NUM
+
+
+def may_link_here(x: str, y: str):
+    """The same at the first key, in the order, that both have: they share it and what comes
+    after. At their later keys this may fail for sets that link; their first key is enough."""
+    most = F.least(F.col(f"{x}after"), F.col(f"{y}after")) + 1
+    return most * DEN >= (F.col(f"{x}n") + F.col(f"{y}n") - most) * NUM
+
+
+def cheap_labels(links: DataFrame) -> DataFrame:
+    """(doc, label) for links (u, v), v < u: the least of v, twice over. Equal labels mean equal components."""
+    low = links.groupBy("u").agg(F.min("v").alias("v"))
+    for _ in range(2):
+        low = low.alias("x").join(low.alias("y"), F.col("x.v") == F.col("y.u"), "left").select("x.u", F.coalesce("y.v", "x.v").alias("v"))
+    return cut(low.select(F.col("u").alias("doc"), F.col("v").alias("label")), "labels")
 
 
 def join_components(docs: DataFrame, **limits: int) -> DataFrame:
@@ -368,54 +425,60 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
     known = plain.where("doc_id IS NOT NULL")
     order = common_order(known, sets, **limits)
     shared = spark.sparkContext.broadcast(order)
+    del order
+    postings = known.mapInArrow(_poster(shared), POSTING).repartition("key", "salt").sortWithinPartitions("key", "salt", "doc")
+    same_list = [c.split()[0] for c in LIST.split(", ") if c != "after bigint"]  # of keys with the same documents the first in the order is left
+    lists = cut(postings.mapInArrow(_scan, LIST).groupBy(*same_list).agg(F.max("after").alias("after")), "lists")
+    texts = cut(known.mapInArrow(_texts(shared), "doc bigint, z binary, sketch array<int>"), "texts")
+    shared.destroy()
+
+    top = lists.where("salt > 0").groupBy("key").agg(F.min(F.struct("pivot", "pivot_n", "pivot_again")).alias("top"))
+    across = lists.where("salt > 0 AND doc = pivot").join(top, "key").select(F.col("top.pivot").alias("pivot"), F.col("top.pivot_n").alias("pivot_n"), F.col("top.pivot_again").alias("pivot_again"), "doc", "n", "again")
+    stars = lists.select(*across.columns).unionByName(across).where("pivot <> doc")
+    compared = compared_pairs(stars.where(may_link("", "pivot_")), "pivot", "doc", texts)
+    links = compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    labels = cheap_labels(links)
+
+    members = lists.select("key", "doc", "n", "again", "after", "pivot")
+    for turn in range(ROUNDS + 1):
+        marked = members.join(labels, "doc", "left").select(*members.columns, F.coalesce("label", "doc").alias("label"))
+        some = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("doc", "n", "again"), F.xxhash64("doc", "key", F.lit(turn))).alias("p"))
+        most = some.groupBy("key").agg(F.max_by(F.struct("label", "p"), F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        open_ = marked.join(most.select("key", F.col("most.label").alias("most"), F.col("most.p.doc").alias("p_doc"), F.col("most.p.n").alias("p_n"), F.col("most.p.again").alias("p_again")), "key")
+        if turn < ROUNDS:
+            pairs = open_.where("label <> most").where(may_link("", "p_")).select("p_doc", "doc")
+            fresh = compared_pairs(pairs, "p_doc", "doc", texts, compared)
+        else:
+            fresh = compared_pairs(rest(cut(open_.drop("p_doc", "p_n", "p_again"), "open"), compared, texts), "a", "b", texts, compared)
+        compared = compared.unionByName(fresh)
+        links = compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
+        if turn < ROUNDS:
+            labels = cheap_labels(links)
     equal = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = equal.groupBy("digest").agg(F.min("doc_id").alias("v"))
     same = equal.join(classes, "digest").select(F.col("doc_id").alias("u"), "v").where("u <> v")
+    found = components(links.unionByName(same))
+    return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
-    postings = known.mapInArrow(_poster(shared), "key bigint, salt int, doc bigint, n bigint")
-    lists = cut(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc").mapInArrow(_scan, "key bigint, salt int, doc bigint, n bigint, pivot bigint, pivot_n bigint"), "lists")
-    texts = cut(known.mapInArrow(_texts(shared), "doc bigint, z binary"), "texts")
-    salted = lists.where("salt > 0").groupBy("key").agg(F.min(F.struct("pivot", "pivot_n")).alias("top"))
-    across = lists.where("salt > 0 AND doc = pivot").join(salted, "key").select(F.col("top.pivot").alias("a"), F.col("pivot").alias("b"), F.col("top.pivot_n").alias("an"), F.col("pivot_n").alias("bn"))
-    stars = lists.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("pivot_n").alias("an"), F.col("n").alias("bn")).unionByName(across)
-    pairs = stars.where(F.col("a") != F.col("b")).where(near_sizes("an", "bn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    compared = cut(compare(pairs, texts), "compared")
-    links = same.unionByName(compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")))
-    labels = components(links)
 
-    for turn in range(ROUNDS + 1):
-        marked = lists.select("key", "doc", "n").distinct().join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label"))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"), F.min_by(F.struct("doc", "n", "label"), F.xxhash64("doc", F.lit(turn))).alias("p")).where("low <> high")
-        open_ = cut(marked.join(mixed, "key").select("key", "doc", "n", "label", "m", "p"), "open")
-        work = open_.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("ends"), F.count(F.lit(1)).alias("rows")).first()
-        if not work.rows:
-            break
-        if turn < ROUNDS and work.ends > 32 * work.rows:  # long lists: another pivot for each
-            star = open_.where(F.col("p.label") != F.col("label")).where(near_sizes("p.n", "n"))
-            pairs = star.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
-        else:
-            pairs = rest(open_, lists, compared)
-        fresh = cut(compare(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), texts), "compared")
-        compared = compared.unionByName(fresh)
-        new = fresh.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
-        edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new)
-        if turn == ROUNDS or work.ends <= 32 * work.rows:
-            labels = components(edges)
-            break
-        labels = components(edges)
-    return sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def rest(open_: DataFrame, lists: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs of one list under different labels, without those that sizes or the distances to
-    the list's first document rule out. The smaller side of each list is joined with the list."""
+def compared_pairs(pairs: DataFrame, x: str, y: str, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """compare() of the distinct pairs of the columns x and y that aren't in known, written."""
+    some = pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+    if known is not None:
+        some = some.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return cut(compare(some, texts), "compared")
+
+
+def rest(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of one list under different labels that may link. What is under the list's most
+    frequent label is not joined with itself."""
     far = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").unionByName(compared.select(F.col("b").alias("x"), F.col("a").alias("y"), "far"))
-    pivots = lists.groupBy("key", "doc").agg(F.min("pivot").alias("pivot"))
-    rows = open_.select("key", "doc", "n", "label").join(pivots, ["key", "doc"]).join(far.select(F.col("x").alias("pivot"), F.col("y").alias("doc"), "far"), ["pivot", "doc"], "left")
-    rows = cut(rows.select("key", "doc", "n", "label", "pivot", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")).alias("far")), "rows")
-    most = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
-    few = rows.join(most, "key").where("label <> most").select("key", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("pivot").alias("p2"), F.col("far").alias("f2"), "most")
+    rows = open_.join(far.select(F.col("x").alias("pivot"), F.col("y").alias("doc"), "far"), ["pivot", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
+    rows = rows.join(texts.select("doc", "sketch"), "doc")
+    few = rows.where("label <> most").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "again", "after", "label", "pivot", "far", "sketch")))
     limit = 1 - NUM / DEN + 1e-9
-    out = few.join(rows, "key").where((F.col("label") != F.col("l2")) & ((F.col("label") == F.col("most")) | (F.col("doc") < F.col("d2")))).where(near_sizes("n", "n2"))
-    out = out.where(~F.coalesce((F.col("pivot") == F.col("p2")) & (F.abs(F.col("far") - F.col("f2")) > limit), F.lit(False)))
-    return out.select(F.least("doc", "d2").alias("a"), F.greatest("doc", "d2").alias("b")).distinct()
+    apart = F.coalesce((F.col("pivot") == F.col("x_pivot")) & (F.abs(F.col("far") - F.col("x_far")) > limit), F.lit(False))
+    most = F.aggregate(F.zip_with("sketch", "x_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    close = most * DEN >= (F.col("n") + F.col("x_n") - most) * NUM
+    out = few.join(rows, "key").where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("doc") < F.col("x_doc")))).where(may_link_here("", "x_"))
+    return out.where(~apart).where(close).select(F.col("doc").alias("a"), F.col("x_doc").alias("b"))
