@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexiloom.functions.text import TITLE_FALLBACK, derive_title, slug
 
@@ -144,7 +145,7 @@ def fnv1a(text: str) -> str:
     return f"{h:016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Hash of the rendered file, as 16 hexadecimal digits."""
     for t in texts:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,5 +38,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written as Parquet under spark.checkpoint.dir and read back: what several branches of a
+    plan use is made once, and a lost executor costs a re-read. A local folder stands in only
+    where the setting is unset, as in tests."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lexiloom-checkpoints"
+    path = f"{base.rstrip('/')}/lexiloom/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,32 +111,37 @@ def pdf_bytes(title: str, pages: list[list[str]]) -> bytes:
     return out.getvalue()
 
 
-def _made(write: Callable) -> Callable:
-    @F.pandas_udf("binary")
-    def run(title: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([write(t or "", p) for t, p in zip(title, pages, strict=True)], index=title.index)
-
-    return run
-
-
-def as_docx(title: Column, body: Column) -> Column:
-    return _made(lambda t, pages: docx_bytes(t, list(pages)))(title, T.split_pages(body))
-
-
-def as_pdf(title: Column, body: Column) -> Column:
-    """The title once: a line of the first page that repeats it is left out."""
+def pdf_pages(title: Column, body: Column) -> Column:
+    """Wrapped lines of each page; a line of the first page that repeats the title is left out."""
     twice = T.body_starts_with_title(title, body)
 
     def lines(page: Column, i: Column) -> Column:
         kept = F.filter(F.split(page, "\n"), lambda x: ~(twice & (i == 0) & (T.trimmed(x) == T.trimmed(title))))
         return F.flatten(F.transform(kept, lambda x: T.wrap_line(T.sanitize_for_pdf(x), LINE_CHARS)))
 
-    return _made(lambda t, pages: pdf_bytes(t, [list(p) for p in pages]))(T.sanitize_for_pdf(title), F.transform(T.split_pages(body), lines))
+    return F.transform(T.split_pages(body), lines)
+
+
+def _writer(write: Callable):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            made = [write(t or "", p or []) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    return run
 
 
 def exported(notes: DataFrame, format_name: str) -> DataFrame:
     """(path, content) of notes with title and body, for sources.notes.write_files."""
     ship(notes.sparkSession)
     kind = parse_format(format_name)
-    made = {"txt": as_txt, "md": as_markdown, "docx": as_docx, "pdf": as_pdf}[kind](F.col("title"), F.col("body"))
-    return notes.select(F.concat(T.safe_file_name(F.col("title")), F.lit(f".{kind}")).alias("path"), made.cast("binary").alias("content"))
+    title, body = F.col("title"), F.col("body")
+    path = F.concat(T.safe_file_name(title), F.lit(f".{kind}")).alias("path")
+    if kind in ("txt", "md"):
+        made = as_txt(title, body) if kind == "txt" else as_markdown(title, body)
+        return notes.select(path, made.cast("binary").alias("content"))
+    if kind == "docx":
+        rows = notes.select(path, title.alias("title"), T.split_pages(body).alias("pages"))
+    else:
+        rows = notes.select(path, T.sanitize_for_pdf(title).alias("title"), pdf_pages(title, body).alias("pages"))
+    return rows.mapInArrow(_writer(docx_bytes if kind == "docx" else pdf_bytes), "path string, content binary")
