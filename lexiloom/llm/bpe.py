@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lexiloom.llm import textkernel as K
 from lexiloom.session import ship
 
 #: Fixed pattern of the byte-level pre-tokenizer.
@@ -190,6 +191,7 @@ class RankMerger:
 
 
 _mergers: dict[str, RankMerger] = {}
+K.KEPT.append(_mergers)
 
 
 def merger(path: str) -> RankMerger:
@@ -216,6 +218,7 @@ def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     ship(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin(_mergers)
         m = merger(path)
         for batch in it:
             names = batch.schema.names

@@ -160,6 +160,7 @@ def _searcher(tables, n_items: int, last: bool, ids):
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin()
         patterns, names = tables.value
         for batch in it:
             col = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}

@@ -93,6 +93,7 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]
 
 
 def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    K.begin()
     for batch in it:
         for a, b, sets in _sets_of(batch):
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -134,6 +135,7 @@ def _counter(bits: int):
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin()
         held, n, seen = [], 0, _Seen()
         for batch in it:
             for _, _, sets in _sets_of(batch):
@@ -266,6 +268,7 @@ def _poster(shared):
     """Postings: key, salt, doc, n, how many of its shingles occur again, and how many of them come after."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin()
         order, seen = shared.value, _Seen()
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -294,6 +297,7 @@ def _texts(shared):
     set's shingles that occur again are in each of SKETCH equal parts of the fingerprints."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin()
         order, seen, press = shared.value, _Seen(), zstandard.ZstdCompressor(level=1)
         for batch in it:
             text = batch.column(1)
@@ -366,6 +370,7 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, za, zb) -> (a, b, shared, either)."""
+    K.begin()
     for batch in it:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)

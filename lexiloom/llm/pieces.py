@@ -26,13 +26,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexiloom.llm import textkernel as K
 from lexiloom.llm.bpe import halve
 from lexiloom.session import ship
 
 MARK = "▁"
-CACHE = 700_000
-PARTS = 300_000
-PAIRS = 1_000_000
+CACHE = 450_000
+PARTS = 200_000
+PAIRS = 500_000
 #: A longer stretch is encoded but not kept.
 KEEP = 48
 
@@ -227,6 +228,7 @@ class _Kept(dict):
 
 
 _codecs: dict[str, PieceCodec] = {}
+K.KEPT.append(_codecs)
 
 
 def codec(path: str) -> PieceCodec:
@@ -252,6 +254,7 @@ def _mapped(docs: DataFrame, path: str, keep: tuple[str, ...], columns: dict) ->
     types = {"bigint": pa.int64(), "string": pa.string()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin(_codecs)
         c = codec(path)
         for batch in it:
             names = batch.schema.names

@@ -115,6 +115,7 @@ def _measure(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    K.begin()
     for batch in it:
         names = batch.schema.names
         text = batch.column(names.index("text"))

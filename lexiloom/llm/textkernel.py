@@ -7,6 +7,9 @@ sums; a window's fingerprint combines the fingerprints of its words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,10 +17,25 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
+#: Tables that operators keep in a worker from task to task.
+KEPT: list[dict] = []
+
+
+def begin(own: dict | None = None) -> None:
+    """At the start of a task: a worker serves one operator after the other, so the tables that
+    others have left in it go, and freed memory goes back to the system."""
+    stale = [d for d in KEPT if d and d is not own]
+    for d in stale:
+        d.clear()
+    if stale:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _table(separators: set[int], lower: bool) -> np.ndarray:

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.llm import textkernel as K
 from lexiloom.llm.bpe import byte_symbols, halve, pretokens, runs
 from lexiloom.llm.checkpoints import shared_dir
 from lexiloom.session import ship
@@ -74,6 +75,7 @@ class IdEncoder:
 
 
 _encoders: dict[str, IdEncoder] = {}
+K.KEPT.append(_encoders)
 
 
 def encoder(path: str) -> IdEncoder:
@@ -89,6 +91,7 @@ def write(docs: DataFrame, tokenizer: str, to: str, end_id: int = 0) -> None:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.begin(_encoders)
         e, before, number = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in it:
             texts = [x or "" for x in batch.column(1).to_pylist()]
