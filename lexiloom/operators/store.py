@@ -104,7 +104,7 @@ def file_name(title: Column, note_id: Column) -> Column:
 
 def created(bodies: DataFrame, now: Column) -> DataFrame:
     """New notes of a column body: fresh ids, titles from the bodies."""
-    new_id = F.upper(F.concat(F.lpad(F.conv((now * 1000).cast("string"), 10, 32), 10, "0"), F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, 16)))
+    new_id = F.upper(F.concat(F.lpad(F.conv((now.cast("long") * 1000).cast("string"), 10, 32), 10, "0"), F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, 16)))
     rows = bodies.select(new_id.alias("id"), "body")
     return rows.select(
         "id", file_name(derive_title(F.col("body"), TITLE_FALLBACK), F.col("id")).alias("path"), derive_title(F.col("body"), TITLE_FALLBACK).alias("title"), "body", now.cast("long").alias("created_at"), now.cast("long").alias("updated_at"),
