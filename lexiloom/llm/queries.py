@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, decontam, html, jaccard, license, pieces, pii, quality, sharding, tokenfile
+from lexiloom.llm import bpe, decontam, html, jaccard, license, oracles, pieces, pii, quality, sharding, tokenfile
 from lexiloom.session import ship, table
 
 
@@ -60,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op9_licenses, op10_token_orc)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
