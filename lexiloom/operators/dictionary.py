@@ -34,8 +34,8 @@ def merged(*lists: DataFrame) -> DataFrame:
 
 def with_probability(words: DataFrame) -> DataFrame:
     """words with log_prob, the logarithm of each word's share of all frequencies."""
-    total = words.agg(F.greatest(F.coalesce(F.sum("freq"), F.lit(0)), F.lit(1)).alias("total"))  # one row
-    return words.crossJoin(F.broadcast(total)).withColumn("log_prob", F.log(F.greatest("freq", F.lit(1)) / F.col("total"))).drop("total")
+    total = words.agg(F.greatest(F.coalesce(F.sum("freq"), F.lit(0)), F.lit(1)).alias("total")).scalar()
+    return words.withColumn("log_prob", F.log(F.greatest("freq", F.lit(1)) / total))
 
 
 def delete_variants(word: Column, max_edit: int = MAX_EDIT, prefix: int = PREFIX) -> Column:

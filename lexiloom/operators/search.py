@@ -127,11 +127,11 @@ def search(index: DataFrame, query: str, variants: tuple[str, ...] = (), limit:
     counted = index.withColumns({f"_t{i}": hits(F.col("title_terms"), p) for i, p in enumerate(phrases)} | {f"_b{i}": hits(F.col("body_terms"), p) for i, p in enumerate(phrases)})
     slim = counted.select(key, "title", "body", "updated_at", "pinned", "trashed_at", "n_terms", *(f"_{c}{i}" for i in range(len(phrases)) for c in "tb"))
     seen = lambda i: (F.col(f"_t{i}") + F.col(f"_b{i}")) > 0
-    stats = slim.agg(F.count(F.lit(1)).alias("_N"), F.avg("n_terms").alias("_D"), *(F.count_if(seen(i)).alias(f"_n{i}") for i in range(len(phrases))))  # one row
-    rows = slim.crossJoin(F.broadcast(stats))
-    idf = lambda i: F.log((F.col("_N") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
+    stats = slim.agg(F.count(F.lit(1)).alias("_N"), F.avg("n_terms").alias("_D"), *(F.count_if(seen(i)).alias(f"_n{i}") for i in range(len(phrases))))
+    rows = slim.withColumn("_s", stats.select(F.struct(*stats.columns)).scalar())
+    idf = lambda i: F.log((F.col("_s._N") - F.col(f"_s._n{i}") + 0.5) / (F.col(f"_s._n{i}") + 0.5))
     f = lambda i: TITLE_WEIGHT * F.col(f"_t{i}") + BODY_WEIGHT * F.col(f"_b{i}")
-    part = lambda i: F.when(idf(i) > 0, idf(i)).otherwise(LEAST_IDF) * f(i) * (K1 + 1) / (f(i) + K1 * (1 - B + B * F.col("n_terms") / F.col("_D")))
+    part = lambda i: F.when(idf(i) > 0, idf(i)).otherwise(LEAST_IDF) * f(i) * (K1 + 1) / (f(i) + K1 * (1 - B + B * F.col("n_terms") / F.col("_s._D")))
     score, matched = F.lit(0.0), F.lit(False)
     for g in groups:
         ids = [phrases.index(p) for p in g]

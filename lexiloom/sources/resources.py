@@ -33,8 +33,8 @@ def replacements(lines: DataFrame) -> DataFrame:
 def word_list(lines: DataFrame) -> DataFrame:
     """(word, freq) of lines `word` or `word freq`: a word without a number gets one from its rank,
     so earlier words count more; comments and blank lines are skipped; a frequency is 1 at least."""
-    total = lines.agg(F.count(F.lit(1)).alias("_total"))
-    rows = lines.crossJoin(F.broadcast(total)).withColumn("_t", F.trim("line")).where("_t <> '' AND NOT startswith(_t, '#')")
+    total = lines.agg(F.count(F.lit(1)).alias("total")).scalar()
+    rows = lines.withColumn("_total", total).withColumn("_t", F.trim("line")).where("_t <> '' AND NOT startswith(_t, '#')")
     parts = F.split("_t", r"\s+")
     freq = F.try_element_at(parts, F.lit(2)).try_cast("bigint")
     return rows.select(parts[0].alias("word"), F.greatest(F.coalesce(freq, F.col("_total") - F.col("n")), F.lit(1)).alias("freq"))
