@@ -221,6 +221,16 @@ def test_licence_scan(spark):
     assert license.scan(docs.limit(0)).count() == 0
 
 
+def test_groups_keep_one_row(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (1, a), (1, a), (2, b), (None, b), (None, b), (5, None), (6, ""), (7, b + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert got == sorted([(1, a), (2, b), (0, b), (0, b), (5, ""), (6, "")])
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     import sentencepiece
