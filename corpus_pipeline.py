@@ -10,7 +10,7 @@ doc_id are in no group and stay past the join; an empty table stays empty throug
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontam, jaccard, pieces, pii, quality
@@ -28,10 +28,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a Jaccard similarity of 0.75 or more, the one of least doc_id; of rows
-    with one doc_id, one. Documents without words are in no group and stay."""
+    with one doc_id, the one of least text fingerprint. Documents without words are in no group and stay.
+    The join and the choice among repeated rows share one partitioning by doc_id."""
     found = jaccard.join_components(docs)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64("text", "n_chars"))
+    return left.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
