@@ -403,6 +403,65 @@ def label_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("toxic") == 1).alias("n_toxic"))
 
 
+_DIGIT = lambda one, five, ten, place: f"['', '{one}', '{one * 2}', '{one * 3}', '{one}{five}', '{five}', '{five}{one}', '{five}{one * 2}', '{five}{one * 3}', '{one}{ten}'][(n // {place}) % 10 + 1]"
+
+
+@query(f"SELECT n, CASE WHEN n BETWEEN 1 AND 3999 THEN repeat('m', n // 1000) || {_DIGIT('c', 'd', 'm', 100)} || {_DIGIT('x', 'l', 'c', 10)} || {_DIGIT('i', 'v', 'x', 1)} ELSE n::VARCHAR END AS roman, CASE WHEN n BETWEEN 1 AND 3999 THEN n END AS value FROM (SELECT p_partkey AS n FROM part)")
+def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n")).withColumn("roman", T.to_roman(F.col("n")))
+    return rows.select("n", "roman", T.parse_roman(F.col("roman")).cast("bigint").alias("value"))
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, strftime(to_timestamp(floor(epoch(ts)))::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS said FROM events")
+def time_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as RFC 3339 in the session's zone and read again."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_utc_timestamp(F.date_trunc("second", "ts"), "UTC").alias("ts"))
+    said = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.select("event_id", said.alias("said")).withColumn("seconds", T.parse_time(F.col("said")))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[^\\n\\t\\x20-\\x7e\\x{a1}-\\x{ff}]', '', 'g')) AS text_hash FROM documents")
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' texts have no typographic characters, so only what Latin-1 lacks goes."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.sanitize_for_pdf(F.col("text"))).alias("text_hash"))
+
+
+@query(f"WITH {_WORDS}, mine AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS word FROM part UNION SELECT 'the') SELECT doc_id, count(*)::BIGINT AS n FROM words WHERE lower(word) NOT IN (SELECT word FROM mine) GROUP BY doc_id")
+def personal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a personal dictionary doesn't know, counted for each document."""
+    mine = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(spark.createDataFrame([("the",)], "word string"))
+    return fuzzy.unknown_to(words(table(spark, sf_dir, "documents")), mine).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, replace(replace(replace(replace(replace('«' || title || '»', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '«', '<mark>'), '»', '</mark>') AS html FROM (SELECT doc_id, {_TITLE} AS title FROM documents)")
+def snippet_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = T.derive_title(F.col("text"), T.TITLE_FALLBACK)
+    return table(spark, sf_dir, "documents").select("doc_id", T.highlight_snippet(F.concat(F.lit("«"), title, F.lit("»"))).alias("html"))
+
+
+@query("SELECT p_partkey, p_name || '|' || p_type AS tags FROM part")
+def tag_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit('["'), "p_name", F.lit("\", '"), "p_type", F.lit("', ]"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.parse_tags(raw), "|").alias("tags"))
+
+
+@query("SELECT p_partkey, repeat('=', (58 - length(l)) // 2) || l || repeat('=', 58 - length(l) - (58 - length(l)) // 2) AS banner FROM (SELECT p_partkey, ' Halaman ' || p_partkey || ' ' AS l FROM part)")
+def page_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.page_banner(F.col("p_partkey")).alias("banner"))
+
+
+@query(f"WITH {_NOTES} SELECT id AS note_id, md5(body) AS body_hash, 1800000000::BIGINT AS saved_at FROM notes")
+def note_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.versions(plan.notes(spark, sf_dir), F.lit(1_800_000_000)).select("note_id", F.md5("body").alias("body_hash"), "saved_at")
+
+
+@query(f"WITH {_NOTES}, old AS (SELECT * FROM notes WHERE NOT archived), new AS (SELECT * FROM notes WHERE trashed_at IS NULL) SELECT id FROM old FULL JOIN new USING (id) WHERE old.content_hash IS DISTINCT FROM new.content_hash")
+def changed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to index anew between two states: what only one of them has, or has with other content."""
+    rows = plan.notes(spark, sf_dir)
+    return store.changed_ids(rows.where("NOT archived"), store.live(rows))
+
+
 # --- files -----------------------------------------------------------------------------------------
 @query()
 def front_matter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
