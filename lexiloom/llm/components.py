@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from lexiloom.llm.checkpoints import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (node, component): the least node reachable. Nodes without edges are left
     out. Every round writes its edges, at most as many as before; a node's edges are never
-    gathered: minima come from partial aggregates and go back by joins that can be split."""
+    gathered: minima come from partial aggregates and go back by joins that can be split. It ends when
+    every node has one edge, to a node without, or is such a node."""
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = cut(small, "edges")
-        old, mark = mark, _mark(now)
-        if mark == old:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+        if not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 OR (up = 1 AND top = 1)").count():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -54,7 +54,7 @@ HOT_KEYS = 1 << 19  # 4 MB of keys and as much of counts
 HOT_COUNT = 64
 FLUSH = 1_000_000
 LARGEST_LIGHT = 48
-ROUNDS = 2
+ROUNDS = 1
 SALT = 64
 SKETCH = 64
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
@@ -248,7 +248,7 @@ def common_order(docs: DataFrame, sets: DataFrame, bitmap_bits: int = BITMAP_BIT
     merged = blobs.groupBy("bucket").applyInPandas(_merge_counts(bits, bitmap_bits, hot_count, hot_keys), "bucket int, bitmap binary, hot binary, count binary, total double, again double, square double")
     bitmap, hot, counts, sums = np.zeros(1 << (bitmap_bits - 3), np.uint8), [], [], np.zeros(3)
     width = len(bitmap) >> bits
-    for r in merged.toLocalIterator():  # as many bytes as the bitmap and the table have
+    for r in merged.collect():  # as many bytes as the bitmap and the table have
         bitmap[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.bitmap, np.uint8)
         hot.append(np.frombuffer(r.hot, "<u8"))
         counts.append(np.frombuffer(r["count"], "<i8"))
@@ -414,12 +414,9 @@ def may_link_here(x: str, y: str):
     return most * DEN >= (F.col(f"{x}n") + F.col(f"{y}n") - most) * NUM
 
 
-def cheap_labels(links: DataFrame) -> DataFrame:
-    """(doc, label) for links (u, v), v < u: the least of v, twice over. Equal labels mean equal components."""
-    low = links.groupBy("u").agg(F.min("v").alias("v"))
-    for _ in range(2):
-        low = low.alias("x").join(low.alias("y"), F.col("x.v") == F.col("y.u"), "left").select("x.u", F.coalesce("y.v", "x.v").alias("v"))
-    return cut(low.select(F.col("u").alias("doc"), F.col("v").alias("label")), "labels")
+def labels_of(links: DataFrame) -> DataFrame:
+    """(doc, label): components so far. Equal labels mean that two documents needn't be compared."""
+    return components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
 
 
 def join_components(docs: DataFrame, **limits: int) -> DataFrame:
@@ -442,7 +439,7 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
     stars = lists.select(*across.columns).unionByName(across).where("pivot <> doc")
     compared = compared_pairs(stars.where(may_link("", "pivot_")), "pivot", "doc", texts)
     links = compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
-    labels = cheap_labels(links)
+    labels = labels_of(links)
 
     members = lists.select("key", "doc", "n", "again", "after", "pivot")
     for turn in range(ROUNDS + 1):
@@ -458,7 +455,7 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
         compared = compared.unionByName(fresh)
         links = compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
         if turn < ROUNDS:
-            labels = cheap_labels(links)
+            labels = labels_of(links)
     equal = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = equal.groupBy("digest").agg(F.min("doc_id").alias("v"))
     same = equal.join(classes, "digest").select(F.col("doc_id").alias("u"), "v").where("u <> v")
