@@ -31,7 +31,7 @@ from lexiloom.llm.bpe import halve
 from lexiloom.session import ship
 
 MARK = "▁"
-CACHE = 450_000
+CACHE = 750_000
 PARTS = 200_000
 PAIRS = 500_000
 #: A longer stretch is encoded but not kept.
@@ -79,7 +79,7 @@ class PieceCodec:
         self.pair: dict[int, bool] = {}
         self.kept = _Kept(self)
         self.long: list[str] = []  # stretches to be forgotten after their text
-        self.kept_text: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # decoded texts of stretches that don't decode to themselves
 
     def merge(self, text: str) -> list[str]:
         """Merging as defined: the adjacent pair that makes the best piece, leftmost first."""
@@ -201,18 +201,22 @@ class PieceCodec:
             return str(self.end_id), 1, ""
         if len(self.kept) > CACHE:
             halve(self.kept)
-            halve(self.kept_text)
+            self.odd = {k: v for k, v in self.odd.items() if k in self.kept}
         said = "".join(map(self.kept.__getitem__, stretches))
-        decoded = "".join(map(self.kept_text.__getitem__, stretches))
+        if self.odd:
+            decoded = "".join(self.odd.get(s) or s.replace(MARK, " ") for s in stretches)
+        else:
+            decoded = f" {text.replace(MARK, ' ')}"
         if self.long:
             for s in self.long:
-                del self.kept[s], self.kept_text[s]
+                del self.kept[s]
+                self.odd.pop(s, None)
             self.long.clear()
         return f"{said}{self.end_id}", said.count(" ") + 1, decoded[1:] if decoded.startswith(" ") else decoded
 
 
 class _Kept(dict):
-    """The ids of stretches, each followed by a blank; decoded texts go beside them."""
+    """The ids of stretches, each followed by a blank. They are decoded once, when they are new."""
 
     def __init__(self, codec: PieceCodec):
         self.codec = codec
@@ -222,7 +226,9 @@ class _Kept(dict):
         ids = c.encode_stretch(stretch)
         if len(stretch) > KEEP:
             c.long.append(stretch)
-        c.kept_text[stretch] = b"".join(map(c.spelt.__getitem__, ids)).decode("utf-8", "replace")
+        decoded = b"".join(map(c.spelt.__getitem__, ids)).decode("utf-8", "replace")
+        if decoded != stretch.replace(MARK, " "):
+            c.odd[stretch] = decoded
         said = self[stretch] = "".join(map(c.number.__getitem__, ids))
         return said
 
