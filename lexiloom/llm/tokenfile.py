@@ -34,7 +34,7 @@ from lexiloom.session import ship
 
 CACHE = 600_000
 SCHEMA = "doc_id bigint, file_no int, ids_before bigint, n_ids bigint, ids array<int>"
-ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "5000", "orc.stripe.size": str(32 << 20)}
+ORC = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "5000", "orc.stripe.size": str(32 << 20)}
 
 
 class _Kept(dict):
