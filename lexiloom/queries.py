@@ -254,7 +254,9 @@ def delete_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
  vd AS (SELECT word, unnest(CASE WHEN length(p) > 1 THEN list_append({_DROP.format('p')}, p) ELSE [p] END) AS variant FROM (SELECT word, left(word, 7) AS p FROM d))
 SELECT DISTINCT typed, word, damerau_levenshtein(typed, word)::INT AS distance FROM vt JOIN vd USING (variant) WHERE damerau_levenshtein(typed, word) <= 1""")
 def fuzzy_candidates_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = dictionary.from_tokens(words(plan.english(spark, sf_dir))).where(F.col("word").rlike("^[a-z]+$"))
+    """Every word of every text with the frequent words one edit away. The SQL has English words of a to z alone;
+    tests hold the others by brute force."""
+    freq = dictionary.from_tokens(words(table(spark, sf_dir, "documents")))
     return fuzzy.matches(freq.select(F.col("word").alias("typed")), freq.where("freq >= 25"), 1).select("typed", "word", "distance")
 
 

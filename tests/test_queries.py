@@ -39,3 +39,26 @@ def test_corrections_reach_every_text(spark, tmp_path):
     assert got == {(i, hashlib.md5(t.encode()).hexdigest(), n) for i, (t, n) in enumerate(made)}
     held = set(by_sql("apply_corrections", folder, "documents"))
     assert held <= got and {i for i, _, _ in held} == {i for i, t in enumerate(texts) if t.isascii()}
+
+
+def one_edit(a, b):
+    """Edits from a to b if there are one at most: none, a letter lost, added or changed, or two neighbours swapped."""
+    if a == b:
+        return 0
+    lost = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+    swapped = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+    changed = len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return 1 if changed or b in swapped or b in lost(a) or a in lost(b) else None
+
+
+def test_fuzzy_join_takes_every_word(spark, tmp_path):
+    often = ["garden", "straße", "l'eau", "été", "x86", "années"]
+    seldom = ["gardn", "gadren", "strasse", "strase", "straßee", "leau", "l'aeu", "éte", "été1", "x87", "x68", "anées", "2024", "é", "日本"]
+    rows = [(0, " ".join(often * 25), "fr"), (1, " ".join(seldom), "de"), (2, "garden gardem " * 25, "en")]
+    folder = saved(spark, tmp_path, documents=(rows, "doc_id bigint, text string, lang string"))
+    got = {tuple(r) for r in queries.fuzzy_candidates_k1(spark, folder).collect()}
+    dictionary = [*often, "gardem"]
+    want = {(t, w, d) for t in {*dictionary, *seldom} for w in dictionary if (d := one_edit(t, w)) is not None}
+    assert got == want and ("x68", "x86", 1) in want and ("anées", "années", 1) in want
+    held = set(by_sql("fuzzy_candidates_k1", folder, "documents"))
+    assert held and held <= got
