@@ -38,7 +38,7 @@ COPY = 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|svg|math|select|object|head)\b[^>]*+(?<!/)>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|style|textarea|title|noscript|template|iframe|svg|math|select|object)\b[^>]*+(?<!/)>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
@@ -54,18 +54,27 @@ _NAMES = frozenset(
     "banner cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations widget comment comments "
     "respond reply replies disqus discussion search toolbar pagination pager copyright legal form".split()
 )
-_CONTAINERS = frozenset(("article", "main"))
+#: Names that also stand on an article's own paragraphs: they say nothing inside of it.
+_OWN_NAMES = frozenset("header legal search discussion bottom side notice notices alert copyright follow form".split())
+#: What a name may have beside it in one class: "site-footer", "share-buttons"; not "no-sidebar" or "layout-sidebar".
+_BESIDE = frozenset("site page global main primary secondary top left right box bar block area list item items link links button buttons wrap wrapper container inner section unit slot".split())
+_ARTICLE_NAMES = frozenset("comment comments reply ad ads advert sponsored related promo".split())
 _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "td": "td th", "th": "td th", "tr": "tr td th"}
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Words of class and id, and whether the element isn't shown or has another role."""
-    words: set[str] = set()
+def _named(classes: set[tuple[str, ...]], names: frozenset[str]) -> bool:
+    """Whether a class is, as a whole, one of the names or made of them and words that may stand beside them."""
+    return any(not names.isdisjoint(c) and all(w in names or w in _BESIDE for w in c) for c in classes)
+
+
+def _names(attributes: str) -> tuple[set[tuple[str, ...]], bool]:
+    """The classes and the id, each as its words, and whether the element isn't shown or has another role."""
+    words: set[tuple[str, ...]] = set()
     off = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words.update(re.split(r"[^a-z]+", value))
+            words.update(tuple(re.findall("[a-z]+", x)) for x in value.split())
         elif name == "role":
             off |= value in _ROLES
         elif name == "style":
@@ -79,7 +88,8 @@ def _names(attributes: str) -> tuple[set[str], bool]:
 
 def lines_of(page: str) -> list[tuple[str, str]]:
     """(zone, text) of each block with text. Zones: x is not of the article, a is inside an
-    explicit article, m inside <main> alone, b anywhere else."""
+    explicit article, m inside <main> alone, b anywhere else. An article or main below elements that only
+    their class or id names as not of the article is the text of a page that has less of it elsewhere."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = [("", "b")]  # open blocks and their zones
     held: list[str] = []
@@ -98,10 +108,12 @@ def lines_of(page: str) -> list[tuple[str, str]]:
         at = m.end()
         tag = m[3] or m[6]
         if not tag:
-            if m[1] and m[1].lower() == "head":
-                held.clear()
             continue
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
+        if tag == "head":  # its elements have no text of their own; it ends where others begin
+            if not closing:
+                held.clear()
+            continue
         if tag not in _BLOCKS:
             if tag in _NOT_MAIN or (attributes and not closing and tag not in _VOID and _drops(tag, attributes, stack[-1][1])):
                 pass  # an inline element that drops its text is handled as a block
@@ -131,33 +143,48 @@ def lines_of(page: str) -> list[tuple[str, str]]:
             continue
         zone = stack[-1][1]
         if zone != "x":
-            if _drops(tag, attributes, zone):
-                zone = "x"
+            drops = _drops(tag, attributes, zone)
+            if drops:
+                zone = "x" if drops == "x" or zone in "AM" else "s"
             elif tag == "article":
-                zone = "a"
-            elif tag == "main" and zone == "b":
-                zone = "m"
+                zone = "A" if zone in "sAM" else "a"
+            elif tag == "main" and zone in "bs":
+                zone = "M" if zone == "s" else "m"
         stack.append((tag, zone))
     if at < len(page):
         held.append(page[at:])
     flush()
-    return out
+    return _resolved(out)
+
+
+def _resolved(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Zones s (named by class alone), A and M (article and main below s) made x, a and m: the larger of A, else M,
+    counts where it has more characters than the zone that would be the text without it."""
+    if all(z in "xamb" for z, _ in lines):
+        return lines
+    size = dict.fromkeys("xambsAM", 0)
+    for z, t in lines:
+        size[z] += len(t)
+    held = size[main_zone("".join(z for z, _ in lines))]
+    won = "" if size["a"] else "A" if size["A"] > held else "M" if size["M"] > held and not size["A"] else ""
+    return [(z.lower() if z == won else z if z in "xamb" else "x", t) for z, t in lines]
 
 
-def _drops(tag: str, attributes: str, zone: str) -> bool:
+def _drops(tag: str, attributes: str, zone: str) -> str:
+    """x where the element itself isn't of the article, s where only its class or id says so, else nothing."""
     if tag in _NOT_MAIN:
-        return True
-    inside = zone in "am"
+        return "x"
+    inside = zone in "amAM"
     if tag == "header" and not inside:
-        return True
+        return "x"
     if not attributes or tag in ("html", "body", "main"):
-        return False
-    words, off = _names(attributes)
+        return ""
+    classes, off = _names(attributes)
     if off:
-        return True
+        return "x"
     if tag == "article":
-        return bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "related", "promo"})
-    return bool(words & (_NAMES - {"header"} if inside else _NAMES))
+        return "x" if _named(classes, _ARTICLE_NAMES) else ""
+    return "s" if _named(classes, _NAMES - _OWN_NAMES if inside else _NAMES) else ""
 
 
 def main_zone(zones: str) -> str:
