@@ -80,6 +80,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
 }
+# Notices of a few words, and SPDX identifiers.
+SHORT: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "License: MIT", "Licensed under MIT", "SPDX-License-Identifier: MIT"),
+    "Apache-2.0": ("Apache License 2.0", "License: Apache-2.0", "Licensed under Apache 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "GPL": ("GPL License", "License: GPL", "License: GPLv3", "Licensed under GPL", "Licensed under GPLv3", *(f"SPDX-License-Identifier: GPL-{v}" for v in ("2.0-only", "2.0-or-later", "3.0-only", "3.0-or-later"))),
+    "LGPL": ("LGPL License", "License: LGPL", "Licensed under LGPL", *(f"SPDX-License-Identifier: LGPL-{v}" for v in ("2.1-only", "2.1-or-later", "3.0-only", "3.0-or-later"))),
+    "BSD": ("BSD License", "License: BSD", "Licensed under BSD", "License: BSD-2-Clause", "License: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "License: MPL-2.0", "Licensed under MPL 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "CC-BY": ("License: CC BY 4.0", "License: CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "CC-BY-NC": ("License: CC BY-NC 4.0", "License: CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"),
+    "Proprietary": ("License: Proprietary", "Proprietary License"),
+}
+TEMPLATES = {family: (*notices, *SHORT[family]) for family, notices in TEMPLATES.items()}
 # Sentences that use licence words and state no licence.
 PLAIN = (
     "The driver showed an expired license to the officer.", "She asked for permission to leave early.", "The committee debated copyright law for hours.",
@@ -137,7 +150,7 @@ def labelled_rows(seed: int = 7, limit: int = TRAINING_ROWS) -> list[tuple[str,
         if len(w) > 8 and rng.random() < 0.5:
             at = rng.randrange(0, len(w) // 3)
             w = w[at : at + rng.randint(max(6, len(w) // 2), len(w))]
-        elif rng.random() < 0.3:
+        elif len(w) > 4 and rng.random() < 0.3:
             w = [x for x in w if rng.random() > 0.1]
         if rng.random() < 0.4:
             w = rng.choices(filler, k=rng.randint(1, 8)) + w
@@ -206,7 +219,8 @@ def paragraphs(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...
     def shares(template: str) -> Column:
         t = sorted(set(words(template)))
         both = F.size(F.array_intersect("w", F.array(*map(F.lit, t))))
-        return (both >= F.lit(SHARED) * F.least(F.size(F.array_distinct("w")), F.lit(len(t)))) & (both >= 3)
+        n = F.size(F.array_distinct("w"))
+        return (both >= F.lit(SHARED) * F.least(n, F.lit(len(t)))) & (both >= F.greatest(F.lit(2), F.least(F.lit(3), n)))
 
     confirmed = F.lit(False)
     for family, templates in TEMPLATES.items():
