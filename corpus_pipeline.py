@@ -22,8 +22,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the default policy rejects."""
-    return quality.kept_rows(docs.select(*COLUMNS), quality.POLICIES[quality.DEFAULT])
+    """Documents that no rule of the verdict's policy rejects."""
+    return quality.kept_rows(docs.select(*COLUMNS), quality.POLICIES[quality.VERDICT])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,15 @@
+"""Operator 2 and the pipeline's first stage on a short clean document that repeats a line."""
+
+from lexiloom.llm import quality
+
+
+def test_short_text_with_a_repeated_line_stays(spark):
+    import corpus_pipeline
+
+    own = ["\n".join(" ".join(f"w{i}x{k}" for k in range(20)) for i in range(j, j + 3)) for j in (0, 3)]
+    clean, junk = f"Read on\n{own[0]}\nRead on\nRead on", "same words in a line\n" * 30
+    docs = spark.createDataFrame([(0, clean, "en", "s", 1), (1, junk, "en", "s", 1), (2, own[1], "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in quality.query(docs).collect()}
+    assert {i: r.kept for i, r in got.items()} == {0: True, 1: False, 2: True}
+    assert got[0].fail_bits == 1 << quality.RULES["DUPLICATE_LINES"][0]
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, "").collect()) == [0, 2]
