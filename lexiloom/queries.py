@@ -350,8 +350,8 @@ _PAGED = "replace(text, chr(10), chr(10) || '=== halaman ===' || chr(10))"
 
 @query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_pages, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(10))), '|')) AS pages_hash FROM documents WHERE right(text, 1) <> chr(10)")
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line a page; texts that end in a newline end in an empty page and are held elsewhere."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").endswith("\n"))
+    """Every line a page; texts that end in a newline, which the SQL leaves out, end in an empty page."""
+    docs = table(spark, sf_dir, "documents")
     paged = F.replace(F.col("text"), F.lit("\n"), F.lit("\n=== halaman ===\n"))
     return docs.select("doc_id", T.count_pages(paged).alias("n_pages"), F.md5(F.array_join(T.split_pages(paged), "|")).alias("pages_hash"))
 
@@ -483,7 +483,7 @@ def front_matter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_NOTES} SELECT id || '|' || title AS name, md5(CASE WHEN lower(trim(regexp_replace(trim(string_split(body, chr(10))[1]), '^#+', ''))) = lower(title) THEN body ELSE title || chr(10) || chr(10) || body END) AS content_hash FROM notes WHERE right(body, 1) <> chr(10) AND left(body, 1) <> chr(10)")
 def export_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plan.notes(spark, sf_dir).where(~F.col("body").endswith("\n") & ~F.col("body").startswith("\n"))
+    rows = plan.notes(spark, sf_dir)
     return rows.select(F.concat_ws("|", "id", "title").alias("name"), F.md5(export.as_txt(F.col("title"), F.col("body"))).alias("content_hash"))
 
 

@@ -62,3 +62,16 @@ def test_fuzzy_join_takes_every_word(spark, tmp_path):
     assert got == want and ("x68", "x86", 1) in want and ("anées", "années", 1) in want
     held = set(by_sql("fuzzy_candidates_k1", folder, "documents"))
     assert held and held <= got
+
+
+def test_texts_with_newlines_at_their_ends_stay(spark, tmp_path):
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    texts = ["Tips\nrow", "Tips\nrow\n", "Tips\n\n", "\nTips\nrow\n"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    folder = saved(spark, tmp_path, documents=(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"), labels=([(9, 1, 0)], "doc_id bigint, quality int, toxic int"))
+    got = {tuple(r) for r in queries.page_split(spark, folder).collect()}
+    assert got == {(i, len(t.split("\n")), md5("|".join(t.split("\n")))) for i, t in enumerate(texts)}
+    said = {r.name: r.content_hash for r in queries.export_txt(spark, folder).collect()}
+    assert sorted(said) == [f"{i}|Tips" for i in range(4)]
+    assert [said[f"{i}|Tips"] for i in range(3)] == [md5("Tips\nrow"), md5("Tips\nrow"), md5("Tips")]
+    assert said["3|Tips"] in (md5("Tips\nrow"), md5("Tips\n\nTips\nrow"))
