@@ -30,12 +30,16 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def split_front_matter(content: Column) -> Column:
-    """struct(header, body): without a closed header all of it is body."""
+    """struct(header, body): without a closed header all of it is body. The header ends at the first line
+    after the first one that is --- beside white space."""
     bare = F.regexp_replace(content, r"\A\x{feff}", "")
-    pattern = r"(?s)\A---[^\n]*\n((?:(?!\s*---\s*(?:\n|\z))[^\n]*\n)*?)[ \t\r]*---[ \t\r]*(?:\n|\z)(.*)\z"
-    closed = bare.rlike(pattern)
-    body = F.regexp_replace(F.regexp_extract(bare, pattern, 2), r"\A\n", "")
-    return F.struct(F.when(closed, F.regexp_extract(bare, pattern, 1)).otherwise("").alias("header"), F.when(closed, body).otherwise(bare).alias("body"))
+    opened = bare.startswith("---") & bare.contains("\n")
+    rest = F.when(opened, F.substring(bare, F.instr(bare, "\n") + 1, F.length(bare)))
+    # the closing line and what is before and after it: a split at the first one
+    parts = F.split(rest, r"(?:\A|(?<=\n))[ \t\r]*+---[ \t\r]*+(?:\n|\z)", 2)
+    closed = F.coalesce(opened & (F.size(parts) == 2), F.lit(False))
+    body = F.regexp_replace(parts[1], r"\A\n", "")
+    return F.struct(F.when(closed, parts[0]).otherwise("").alias("header"), F.when(closed, body).otherwise(bare).alias("body"))
 
 
 def parse(files: DataFrame, fallback_id: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.sources import notes as note_files
 
 C = F.col
 
@@ -121,3 +122,15 @@ def test_counts_and_names(col):
     assert col(T.highlight_snippet(C("t")), t="a<«b»") == "a&lt;<mark>b</mark>"
     assert col(T.body_starts_with_title(C("t"), C("b")), t="Plan", b="# plan\nx") is True
     assert col(T.utf16_offset(C("t"), C("p")), t="\U0001f600a", p=1) == 2
+
+
+@pytest.mark.parametrize("text, language", [("a," * 500_000, ""), ("a{" + "x:" * 500_000, ""), ("a{b:c;" * 100_000, "css"), ("import " * 150_000, ""), ("\n" * 500_000 + ".a, .b > .c {\n color: red }", "css"), ("import {a,\n b} from 'c'", "javascript")])
+def test_language_of_long_texts(col, text, language):
+    assert col(T.detect_language(F.col("t")), t=text) == language
+
+
+def test_long_front_matter(col):
+    header = "".join(f"key{i}: value\n" for i in range(20_000))
+    made = col(note_files.split_front_matter(F.col("t")), t=f"---\n{header}---\n\nbody\n---\n")
+    assert tuple(made) == (header, "body\n---\n")
+    assert tuple(col(note_files.split_front_matter(F.col("t")), t=f"---\n{header}")) == ("", f"---\n{header}")
