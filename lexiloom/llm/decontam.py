@@ -102,12 +102,6 @@ def compile_patterns(items: list[tuple[int, str]], n: int = WINDOW) -> list[Patt
     return out
 
 
-def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0]+1, ... length[0] of them, then those of start[1], ..."""
-    ends = np.cumsum(length)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
-
-
 def search(p: Patterns, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     """Index of the last word and the pattern of every occurrence."""
     none = np.zeros(0, np.int64)
@@ -116,7 +110,7 @@ def search(p: Patterns, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     if not len(low):
         return none, none
     lanes = (high - low + LANE - 1) // LANE
-    pos = _ragged(np.zeros(len(low), np.int64), lanes) * LANE + np.repeat(low, lanes)
+    pos = K.ragged(np.zeros(len(low), np.int64), lanes) * LANE + np.repeat(low, lanes)
     stop = np.minimum(pos + LANE, np.repeat(high, lanes))
     blocks = block_hash(w.hash, p.width)
     slots = (blocks & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
@@ -136,7 +130,7 @@ def search(p: Patterns, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     hit = p.suffix[b] == blocks[end]
     end, b = end[hit], b[hit]
     sizes = p.bucket[b + 1] - p.bucket[b]
-    pattern, end = _ragged(p.bucket[b], sizes), np.repeat(end, sizes)
+    pattern, end = K.ragged(p.bucket[b], sizes), np.repeat(end, sizes)
     lengths = w.end - w.start
     for j in range(1, p.m + 1):  # from the last word backwards
         if not len(end):
@@ -144,11 +138,11 @@ def search(p: Patterns, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
         at = end - j + 1
         same = (w.hash[at] == p.words[pattern, p.m - j]) & (lengths[at] == p.lengths[pattern, p.m - j])
         end, pattern = end[same], pattern[same]
-    word = _ragged(end - p.m + 1, np.full(len(end), p.m))  # every byte of what is left
-    text = K.ALNUM_WORDS[w.data[_ragged(w.start[word], lengths[word])]]
+    word = K.ragged(end - p.m + 1, np.full(len(end), p.m))  # every byte of what is left
+    text = K.ALNUM_WORDS[w.data[K.ragged(w.start[word], lengths[word])]]
     size = p.at[pattern + 1] - p.at[pattern]
     wrong = np.zeros(len(text) + 1, np.int64)
-    np.cumsum(text != p.data[_ragged(p.at[pattern], size)], out=wrong[1:])
+    np.cumsum(text != p.data[K.ragged(p.at[pattern], size)], out=wrong[1:])
     to = np.cumsum(size)
     right = wrong[to] == wrong[to - size]
     return end[right], pattern[right]
@@ -175,13 +169,13 @@ def _searcher(tables, n_items: int, last: bool, ids):
                     np.add.at(cover, end + 1, -1)
                     count = p.own[which + 1] - p.own[which]
                     doc = np.searchsorted(w.first, end, side="right") - 1
-                    pairs.append(np.repeat(doc, count) * n_items + p.owners[_ragged(p.own[which], count)])
+                    pairs.append(np.repeat(doc, count) * n_items + p.owners[K.ragged(p.own[which], count)])
                 hit = np.cumsum(cover)[:-1] > 0
                 earlier = {}
                 if "hits" in col:
                     for i, (h, x) in enumerate(zip(col["hits"].slice(a, n_docs).to_pylist(), col["items"].slice(a, n_docs).to_pylist(), strict=True)):
                         if h:
-                            hit[_ragged(np.array(h[::2]), np.array(h[1::2])) + w.first[i]] = True
+                            hit[K.ragged(np.array(h[::2]), np.array(h[1::2])) + w.first[i]] = True
                         if x:
                             earlier[i] = set(x)
                 for x in np.unique(np.concatenate(pairs)).tolist() if pairs else ():

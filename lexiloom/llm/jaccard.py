@@ -75,7 +75,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> list
             out.append(s[keep])
         elif n:
             words = w.hash[w.first[i] : w.first[i + 1]]
-            p, _ = K.powers(k + 1)
+            p = K.weights(k + 1)
             out.append(K.mix(np.array([(words * p[1 : n + 1]).sum()], np.uint64) * _WHOLE + np.uint64(n)))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -1,8 +1,10 @@
 """Word and window hashing over the raw buffers of an Arrow string column.
 
 Everything here works on a slice of rows at once with numpy: no Python string is made for a
-document. A word's fingerprint is a polynomial of its bytes modulo 2**64, taken from prefix
-sums; a window's fingerprint combines the fingerprints of its words.
+document. A word's fingerprint joins two polynomials of its bytes, modulo two primes below 2**31
+and taken from prefix sums: modulo a power of two, texts of very regular make-up would collide. A
+window's fingerprint combines those of its words. Where a verdict hangs on equal fingerprints of one
+document, exact() and same_spans() confirm them by bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = []
+_FIELDS = ((2**31 - 1, 1_237_940_039), (2**31 - 19, 892_710_437))  # prime, base
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 #: Tables that operators keep in a worker from task to task.
 KEPT: list[dict] = []
 
@@ -61,21 +64,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and _BASE**-i modulo 2**64 for i < n, kept for the usual chunk length."""
-    if _powers and len(_powers[0]) >= n:
-        return _powers[0], _powers[1]
+def weights(n: int) -> np.ndarray:
+    """_BASE**i modulo 2**64, for the few words of a window."""
+    return np.array([pow(int(_BASE), i, 1 << 64) for i in range(n)], np.uint64)
+
+
+def _series(base: int, prime: int, n: int) -> np.ndarray:
+    """base**i modulo prime for i < n, by doubling."""
+    out, have = np.ones(n, np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return out
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field base**i and base**-i for i < n, kept for the usual chunk length."""
+    if _powers and len(_powers[0][0]) >= n:
+        return _powers
     size = max(n, 1 << 16)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(size, base, dtype=np.uint64)
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-        out.append(p)
+    out = [(_series(base, prime, size), _series(pow(base, -1, prime), prime, size)) for prime, base in _FIELDS]
     if size <= 2 * CHUNK_BYTES:
         _powers[:] = out
-    return out[0], out[1]
+    return out
 
 
 @dataclass
@@ -118,7 +130,7 @@ def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
-def words(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, sums: np.ndarray | None = None) -> Words:
+def words(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, sums: list[np.ndarray] | None = None) -> Words:
     """Split and fingerprint; sums: prefix sums of another byte mapping (see prefix_sums)."""
     n = len(data)
     if not n:
@@ -139,17 +151,57 @@ def words(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, sums: np.nd
     return Words(data, bounds, s, e, h, np.searchsorted(s, bounds))
 
 
-def prefix_sums(symbols: np.ndarray) -> np.ndarray:
-    p, _ = powers(len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, np.uint64)
-    np.multiply(symbols.astype(np.uint64) + np.uint64(1), p[: len(symbols)], out=out[1:])
-    np.cumsum(out, out=out)
+def prefix_sums(symbols: np.ndarray) -> list[np.ndarray]:
+    """For each field the sums of (symbol + 1) * base**i before every place, not yet reduced."""
+    n, out = len(symbols), []
+    plus = symbols.astype(np.uint64) + np.uint64(1)
+    for (prime, _), (p, _) in zip(_FIELDS, powers(n + 1), strict=True):
+        sums = np.zeros(n + 1, np.uint64)
+        np.multiply(plus, p[:n], out=sums[1:])
+        if n >= 1 << 24:  # terms below 2**39 would overflow
+            sums %= np.uint64(prime)
+        np.cumsum(sums, out=sums)
+        out.append(sums)
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start])
+def span_hash(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(start), np.uint64)
+    for (prime, _), s, (_, inverse) in zip(_FIELDS, sums, powers(len(sums[0])), strict=True):
+        q = np.uint64(prime)
+        out = out << np.uint64(31) | (s[end] - s[start]) % q * inverse[start] % q
+    return mix(out)
+
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... length[0] of them, then those of start[1], ..."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two spans are equal, for each pair of spans."""
+    size = end - start
+    same = size == end2 - start2
+    some = np.flatnonzero(same)
+    wrong = np.zeros(int(size[some].sum()) + 1, np.int64)
+    np.cumsum(data[ragged(start[some], size[some])] != data[ragged(start2[some], size[some])], out=wrong[1:])
+    to = np.cumsum(size[some])
+    same[some] = wrong[to] == wrong[to - size[some]]
+    return same
+
+
+def exact(w: Words) -> np.ndarray:
+    """Numbers of the slice's words that are equal only for equal words: the fingerprints where bytes
+    confirm them, else numbers in order of first sight."""
+    if not len(w.hash):
+        return w.hash
+    _, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
+    like = first[at]
+    if same_spans(w.data, w.start, w.end, w.start[like], w.end[like]).all():
+        return w.hash
+    seen: dict[bytes, int] = {}
+    return mix(np.array([seen.setdefault(w.data[a:b].tobytes(), len(seen)) for a, b in zip(w.start, w.end, strict=True)], np.uint64) + np.uint64(1))
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +209,7 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hash) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p, _ = powers(k + 1)
+    p = weights(k + 1)
     h = np.zeros(n, np.uint64)
     for i in range(k):
         h += w.hash[i : i + n] * p[i + 1]
