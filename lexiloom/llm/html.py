@@ -1,28 +1,32 @@
 """Main text of web pages by differencing nearest-URL neighbours.
 
 Pages are read into text lines, one for each block, with the zone each line stands in. Within a
-host, pages are ordered by URL path and each is paired with the page before and the page after
-it. The lines of a pair are aligned by their longest common subsequence, over fingerprints of
-the lines, and what both share is struck out: menus, notices and footers that the site repeats.
-Zones that markup names as not of the article (nav, aside, form, class="ad", comments ...) are
-struck out even where no neighbour repeats them. Lines inside an explicit <article> or <main> are not struck
-out for being shared: articles may quote one another, and a copy of a page shares all of it. For the same
-reason nothing is struck out of pages without such an element whose neighbour repeats nearly all of them.
-
-Only fingerprints travel for the pairing: pages get their place in the order of (host, path) from a
-range partitioning with counts, and places n and n + 1 are joined, so a host of any size is
-dealt over all tasks. Texts travel once, compressed, to meet their marks.
+host, pages are ordered by URL path and each is paired with the pages 1, 2 and 4 places before and
+after it. The lines of a pair are aligned by their longest common subsequence, and what both share is
+deleted: menus, notices and footers that the site repeats. Zones that markup names as not of the
+article (nav, aside, form, class="ad", comments ...) are deleted even where no neighbour repeats them.
+
+Two things keep shared lines. Lines inside an explicit <article> stay: articles quote one another, and what an
+author puts there is the text. And a neighbour may be a copy of the page: a pair that shares COPY of both is alike,
+and an alike neighbour deletes only where it shares less than half of what unlike neighbours leave, so that a
+site whose pages are mostly menu is told from copies. Where all neighbours are alike, three or more of them
+delete what two of them share if enough is left.
+
+Pages travel once, as compressed lines, to the task of their run of the order of (host, path, page): the
+order's boundaries come from the keys alone, and the few pages before and after a run go to it
+as well. So each page is parsed once, no fingerprint stands in for a line, and a host of any size is dealt over all tasks.
 
 Defined results: a null or empty html gives an empty text; a null url is a page of its own host;
 repeated rows each get a row; html without an end to a comment, tag or script is read to its end
-as if it ended there; an empty table gives an empty result. Only page_id, url and html are read.
+as if it ended there; a null page_id comes first in its path; an empty table gives an empty result. Only
+page_id, url and html are read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as references
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +37,14 @@ from pyspark.sql import functions as F
 from lexiloom.llm.sharding import ranked
 from lexiloom.session import ship
 
-#: A page of which a neighbour repeats this share of the open characters, and the other way round, is a copy.
+#: Two pages of which each has this share of its open characters in common with the other are alike.
 COPY = 0.8
+#: What must be left of a page all of whose neighbours are alike.
+OWN_CHARS, OWN_SHARE = 200, 0.05
+#: Places before and after a page at which its neighbours stand.
+NEAR = (1, 2, 4)
+#: Runs of the order are at least this long.
+RUN = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,10 +54,10 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOT_MAIN = frozenset("nav aside footer form menu dialog button label fieldset".split())
+_NOT_MAIN = frozenset("nav aside footer form menu dialog button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 _NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar side aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
@@ -81,13 +91,13 @@ def _names(attributes: str) -> tuple[set[tuple[str, ...]], bool]:
             off |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
         elif name == "hidden":
             off = True
-        else:
+        elif name == "aria-hidden":
             off |= value == "true"
     return words, off
 
 
 def lines_of(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block with text. Zones: x is not of the article, a is inside an
+    """(zone, text) of each block with text. Zones: x is not of the article, a inside an
     explicit article, m inside <main> alone, b anywhere else. An article or main below elements that only
     their class or id names as not of the article is the text of a page that has less of it elsewhere."""
     out: list[tuple[str, str]] = []
@@ -115,6 +125,8 @@ def lines_of(page: str) -> list[tuple[str, str]]:
                 held.clear()
             continue
         if tag not in _BLOCKS:
+            if tag == "button" and (all(t != tag for t, _ in stack) if closing else stack[-1][1] in "acm" and "".join(held).strip()):
+                continue  # a word of a sentence
             if tag in _NOT_MAIN or (attributes and not closing and tag not in _VOID and _drops(tag, attributes, stack[-1][1])):
                 pass  # an inline element that drops its text is handled as a block
             else:
@@ -145,9 +157,9 @@ def lines_of(page: str) -> list[tuple[str, str]]:
         if zone != "x":
             drops = _drops(tag, attributes, zone)
             if drops:
-                zone = "x" if drops == "x" or zone in "AM" else "s"
+                zone = "x" if drops == "x" or zone in "AMc" else "s"
             elif tag == "article":
-                zone = "A" if zone in "sAM" else "a"
+                zone = "A" if zone in "sAM" else "c" if zone in "mc" else "a"  # c: below <main>
             elif tag == "main" and zone in "bs":
                 zone = "M" if zone == "s" else "m"
         stack.append((tag, zone))
@@ -159,12 +171,23 @@ def lines_of(page: str) -> list[tuple[str, str]]:
 
 def _resolved(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Zones s (named by class alone), A and M (article and main below s) made x, a and m: the larger of A, else M,
-    counts where it has more characters than the zone that would be the text without it."""
+    counts where it has more characters than the zone that would be the text without it. Articles in a <main> that
+    says more outside of them are cards of other pages."""
+    zones = {z for z, _ in lines}
+    if "c" in zones:
+        size = dict.fromkeys("cm", 0)
+        for z, t in lines:
+            if z in size:
+                size[z] += len(t)
+        card = "x" if size["m"] > size["c"] and "a" not in zones else "a"
+        lines = [(card if z == "c" else z, t) for z, t in lines]
     if all(z in "xamb" for z, _ in lines):
         return lines
     size = dict.fromkeys("xambsAM", 0)
     for z, t in lines:
         size[z] += len(t)
+    if not any(n for z, n in size.items() if z not in "xs"):  # a class on what holds the whole text says nothing
+        return [("b" if z == "s" else z, t) for z, t in lines]
     held = size[main_zone("".join(z for z, _ in lines))]
     won = "" if size["a"] else "A" if size["A"] > held else "M" if size["M"] > held and not size["A"] else ""
     return [(z.lower() if z == won else z if z in "xamb" else "x", t) for z, t in lines]
@@ -174,7 +197,7 @@ def _drops(tag: str, attributes: str, zone: str) -> str:
     """x where the element itself isn't of the article, s where only its class or id says so, else nothing."""
     if tag in _NOT_MAIN:
         return "x"
-    inside = zone in "amAM"
+    inside = zone in "acmAM"
     if tag == "header" and not inside:
         return "x"
     if not attributes or tag in ("html", "body", "main"):
@@ -192,8 +215,9 @@ def main_zone(zones: str) -> str:
     return "a" if "a" in zones else "m" if "m" in zones else "b"
 
 
-def shared_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Places of a longest common subsequence in both, by bit vectors over b."""
+def shared_lines(a: list, b: list) -> tuple[list[int], list[int]]:
+    """Places of a longest common subsequence in both, by bit vectors over b; long middles are halved
+    where the lengths of their halves add up to most, so the vectors kept stay few."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -203,17 +227,20 @@ def shared_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     both = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
     ia = [i for i in range(head, len(a) - tail) if a[i] in both]
     ib = [j for j in range(head, len(b) - tail) if b[j] in both]
-    found = [(k, k) for k in range(head)]
-    if ia and ib:
-        where: dict[int, int] = {}
-        for j, at in enumerate(ib):
-            where[b[at]] = where.get(b[at], 0) | 1 << j
-        full = (1 << len(ib)) - 1
-        state, rows = full, []
-        for i in ia:  # a zero bit: the column adds one to the length
-            u = state & where[a[i]]
-            state = ((state + u) | (state - u)) & full
-            rows.append(state)
+    found = [(k, k) for k in range(head)] + [(len(a) - 1 - k, len(b) - 1 - k) for k in range(tail)]
+    todo = [(ia, ib)]
+    while todo:
+        ia, ib = todo.pop()
+        if not ia or not ib:
+            continue
+        if len(ia) > 1 and len(ia) * len(ib) > VECTOR_BITS:
+            half = len(ia) // 2
+            first = _lengths([a[i] for i in ia[:half]], [b[j] for j in ib])
+            last = _lengths([a[i] for i in reversed(ia[half:])], [b[j] for j in reversed(ib)])
+            cut = max(range(len(ib) + 1), key=lambda j: first[j] + last[len(ib) - j])
+            todo += [(ia[:half], ib[:cut]), (ia[half:], ib[cut:])]
+            continue
+        rows = list(_states([a[i] for i in ia], [b[j] for j in ib]))
         i, j = len(ia), len(ib)
         while i and j:
             if rows[i - 1] >> (j - 1) & 1:
@@ -223,89 +250,156 @@ def shared_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 found.append((ia[i - 1], ib[j - 1]))
                 i, j = i - 1, j - 1
-    found += [(len(a) - 1 - k, len(b) - 1 - k) for k in range(tail)]
     return sorted(i for i, _ in found), sorted(j for _, j in found)
 
 
-def strike(zones: str, sizes: list[int], marks: list[tuple[list[int], bool]]) -> list[bool]:
-    """Which lines stay. marks: for each neighbour, the shared lines and whether it is a copy."""
+#: Bits of the vectors that one alignment keeps.
+VECTOR_BITS = 1 << 26
+
+
+def _states(a: list, b: list) -> Iterator[int]:
+    """After each line of a, a vector over b; a zero bit says that the column adds one to the length."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    state = full = (1 << len(b)) - 1
+    for x in a:
+        u = state & where.get(x, 0)
+        state = ((state + u) | (state - u)) & full
+        yield state
+
+
+def _lengths(a: list, b: list) -> list[int]:
+    """Length of the longest common subsequence of a and each beginning of b."""
+    for state in _states(a, b):
+        pass
+    out = [0]
+    for bit in f"{state:0{len(b)}b}"[::-1]:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def shared_by_neighbours(zones: str, sizes: list[int], marks: list[tuple[list[int], bool]]) -> set[int]:
+    """Lines that neighbours which aren't copies share. marks: for each neighbour, the shared lines and whether
+    the two pages are alike."""
+    size = lambda lines: sum(sizes[i] for i in lines if zones[i] != "x")
+    whole = size(range(len(zones)))
+    unlike = [set(s) for s, alike in marks if not alike]
+    out = set().union(*unlike)
+    alike = [set(s) for s, like in marks if like]
+    if unlike:
+        own = whole - size(out)
+        return out.union(*(s for s in alike if 2 * size(s - out) < own))
+    twice = {i for k, s in enumerate(alike) for i in s if any(i in t for t in alike[:k])}
+    left = whole - size(twice)
+    return twice if len(alike) >= 3 and left >= max(OWN_CHARS, OWN_SHARE * whole) else set()
+
+
+def strike(zones: str, sizes: list[int], marks: list[tuple[list[int], bool]]) -> tuple[list[bool], set[int]]:
+    """Which lines stay, and which of the others differencing deletes."""
     main = main_zone(zones)
-    keep = [z == main for z in zones]
-    if main == "b":
-        for shared, copy in marks:
-            if not copy:
-                for i in shared:
-                    keep[i] = False
-    return keep
+    gone = {i for i in shared_by_neighbours(zones, sizes, marks) if zones[i] != "a"}
+    return [z == main and i not in gone for i, z in enumerate(zones)], gone
 
 
-def _print(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _place(host: str, path: str, page: int | None) -> tuple:
+    return (host, path, page is not None, page or 0)
 
 
-def _index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        zones, prints, sizes = [], [], []
-        for page in batch.column(4).to_pylist():
-            lines = lines_of(page or "")
-            zones.append("".join(z for z, _ in lines))
-            prints.append([_print(t) for _, t in lines])
-            sizes.append([len(t) for _, t in lines])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(zones), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["host", "path", "page", "print", "zones", "lines", "sizes"])
+def _parsed(starts: list[tuple], lows: list[tuple], highs: list[tuple]):
+    """Pages -> their compressed lines, in the run of their place and, near its ends, in the run beside it."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in it:
+            rows, runs, own, packed = [], [], [], []
+            for i, (host, path, page, _, html) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                at = _place(host, path, page)
+                mine = bisect_right(starts, at)
+                z = press.compress("\n".join(f"{zone}{text}" for zone, text in lines_of(html or "")).encode("utf-8", "surrogatepass"))
+                for run in (mine, *((mine + 1,) if mine < len(lows) and at >= lows[mine] else ()), *((mine - 1,) if mine and at < highs[mine - 1] else ())):
+                    rows.append(i)
+                    runs.append(run)
+                    own.append(run == mine)
+                    packed.append(z)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array(own), *(batch.column(c).take(take) for c in range(4)), pa.array(packed, pa.binary())], ["run", "own", "host", "path", "page", "url", "z"])
 
-def _align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs -> for each of both pages: page, print, shared lines, whether they are copies."""
-    for batch in it:
-        pages, prints, shared, copies = [], [], [], []
-        for pa_, ra, za, la, na, pb, rb, zb, lb, nb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            i, j = shared_lines(la, lb)
-            part = lambda at, z, n: sum(n[k] for k in at if z[k] != "x") / max(1, sum(x for x, y in zip(n, z, strict=True) if y != "x"))
-            copy = part(i, za, na) >= COPY and part(j, zb, nb) >= COPY
-            pages += [pa_, pb]
-            prints += [ra, rb]
-            shared += [i, j]
-            copies += [copy, copy]
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(prints, pa.int64()), pa.array(shared, pa.list_(pa.int32())), pa.array(copies)], ["page", "print", "shared", "copy"])
-
-
-def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in it:
-        z = [press.compress("\n".join(f"{zone}{text}" for zone, text in lines_of(page or "")).encode("utf-8", "surrogatepass")) for page in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(z, pa.binary())], ["page", "url", "print", "z"])
+    return run
+
+
+class _Page:
+    """Lines of a page, and what its neighbours share of it."""
+
+    def __init__(self, run: int, own: bool, host: str, page: int | None, url: str | None, z: bytes):
+        packed = zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
+        lines = packed.split("\n") if packed else []
+        self.key, self.own, self.page, self.url = (run, host), own, page, url
+        self.zones, self.lines = "".join(x[0] for x in lines), [x[1:] for x in lines]
+        self.marks: list[tuple[list[int], bool]] = []
+
+    def open_share(self, shared: list[int]) -> float:
+        size = sum(len(t) for z, t in zip(self.zones, self.lines, strict=True) if z != "x")
+        return sum(len(self.lines[i]) for i in shared if self.zones[i] != "x") / max(1, size)
+
+    def pair(self, other: _Page) -> None:
+        i, j = shared_lines(self.lines, other.lines)
+        alike = self.open_share(i) >= COPY and other.open_share(j) >= COPY
+        self.marks.append((i, alike))
+        other.marks.append((j, alike))
+
+    def row(self) -> tuple:
+        sizes = [len(t) for t in self.lines]
+        keep, gone = strike(self.zones, sizes, self.marks)
+        text = "\n".join(t for t, k in zip(self.lines, keep, strict=True) if k)
+        return self.page, self.url, text, len(text), len({i for s, _ in self.marks for i in s}), len(gone), len(keep) - sum(keep) - len(gone)
+
+
+OUT = "page_id bigint, url string, text string, n_chars bigint, n_shared_lines bigint, n_struck_lines bigint, n_marked_lines bigint"
+
+
+def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted pages -> texts. The last pages stay until those after them have been seen."""
+    held: list[_Page] = []
 
+    def out(pages: list[_Page]) -> pa.RecordBatch:
+        rows = [p.row() for p in pages if p.own]
+        types = (pa.int64(), pa.string(), pa.string(), *(pa.int64(),) * 4)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in OUT.split(", ")])
 
-def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        texts, struck = [], []
-        for z, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            packed = zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
-            lines = packed.split("\n") if packed else []
-            keep = strike("".join(x[0] for x in lines), [len(x) - 1 for x in lines], [(m["shared"], m["copy"]) for m in marks or ()])
-            texts.append("\n".join(x[1:] for x, k in zip(lines, keep, strict=True) if k))
-            struck.append(len({i for m in marks or () for i in m["shared"]}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts), pa.array([len(t) for t in texts], pa.int64()), pa.array(struck, pa.int64())], ["page_id", "url", "text", "n_chars", "n_shared_lines"])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            page = _Page(*row)
+            for d in NEAR:
+                if len(held) >= d and held[-d].key == page.key:
+                    page.pair(held[-d])
+            held.append(page)
+            if len(held) >= RUN + NEAR[-1]:
+                yield out(held[: -NEAR[-1]])
+                held = held[-NEAR[-1] :]
+    yield out(held)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, n_shared_lines): text is the article's blocks joined by one newline;
-    n_shared_lines are the page's lines that a neighbour shares."""
-    ship(pages.sparkSession)
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    key = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    """(page_id, url, text, n_chars, n_shared_lines, n_struck_lines, n_marked_lines): text is the article's blocks
+    joined by one newline; n_shared_lines are the page's lines that a neighbour shares, n_struck_lines those that are
+    deleted for it, n_marked_lines those that only markup deletes."""
+    spark = ship(pages.sparkSession)
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"[?#].*$", "")
-    index = named.select(host.alias("host"), path.alias("path"), F.col("page_id").alias("page"), key.alias("print"), "html").mapInArrow(_index, "host string, path string, page bigint, print bigint, zones string, lines array<bigint>, sizes array<int>")
-    placed = ranked(index, "host", "path", "page", "print").drop("path", "total")
-    other = placed.select(*(F.col(c).alias(f"{c}2") for c in ("host", "page", "print", "zones", "lines", "sizes")), (F.col("rank") - 1).alias("rank"))
-    pairs = placed.join(other, "rank").where("host = host2").select("page", "print", "zones", "lines", "sizes", "page2", "print2", "zones2", "lines2", "sizes2")
-    marks = pairs.mapInArrow(_align, "page bigint, print bigint, shared array<int>, copy boolean").distinct()
-    marks = marks.groupBy("page", "print").agg(F.collect_list(F.struct("shared", "copy")).alias("marks"))
-    texts = named.select(F.col("page_id").alias("page"), "url", key.alias("print"), "html").mapInArrow(_packed, "page bigint, url string, print bigint, z binary")
-    joined = texts.alias("t").join(marks.alias("m"), F.col("t.page").eqNullSafe(F.col("m.page")) & (F.col("t.print") == F.col("m.print")), "left")
-    return joined.select("t.page", "t.url", "t.z", "m.marks").mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint, n_shared_lines bigint")
+    keyed = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page"), "url", "html")
+    placed = ranked(keyed.select("host", "path", "page"), "host", "path", "page")
+    first = placed.select("total").first()
+    total = first.total if first else 0
+    runs = max(1, min(total // RUN, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    begin = [k * total // runs for k in range(1, runs)]
+    wanted = sorted({r + d for r in begin for d in (-NEAR[-1], 0, NEAR[-1])})
+    edges = {r.rank: _place(r.host, r.path, r.page) for r in placed.where(F.col("rank").isin(wanted)).collect()} if wanted else {}  # three rows a run
+    starts, lows, highs = ([edges[r + d] for r in begin] for d in (0, -NEAR[-1], NEAR[-1]))
+    dealt = keyed.mapInArrow(_parsed(starts, lows, highs), "run int, own boolean, host string, path string, page bigint, url string, z binary")
+    ordered = dealt.repartition("run").sortWithinPartitions("run", "host", "path", "page", "url", "z")
+    return ordered.select("run", "own", "host", "page", "url", "z").mapInArrow(_differenced, OUT)
 
 
 def query(pages: DataFrame) -> DataFrame:
