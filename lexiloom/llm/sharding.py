@@ -1,20 +1,25 @@
 """Shards as runs of a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to 2**BITS cells, the cells of a row give its index on the curve, and
-rows are ordered by (index, doc_id, fingerprint of the text). The order is cut into runs of equal
-row counts (law `rows`: counts differ by at most one). Files that hold a run have narrow ranges
-in every dimension at once, so filters on any of them skip files (`manifest`, `prune`).
+Each dimension is quantised to 2**BITS cells by its quantiles over all rows, the cells of a row give its index
+on the curve, and rows are ordered by (index, fingerprint of the text, doc_id). The order is cut into runs of
+equal row counts (law `rows`: counts differ by at most one). Files that hold a run have narrow ranges in
+every dimension at once, so filters on any of them skip files (`manifest`, `prune`).
 
-The index of a row is computed by numpy in Arrow batches. The global rank comes from a range
-partitioning by the curve index, a count for each partition, and a row's place in its partition;
-no task and not the driver holds more than counts.
+A label is quantised as a number that keeps its order: LABEL_BYTES bytes from where the least and the greatest
+label part. Quantiles are kept with their repetitions, so a cell says how large a part of the rows comes before:
+frequent labels take as much of the curve's square as of the table, and labels that agree in those bytes share a cell.
 
-Quantising: numeric dimensions by quantile boundaries over all rows (2**BITS - 1 numbers), text
-dimensions by their first letter and last number (no dictionary that grows with the data).
+Sizes and fingerprints are read from the texts once and written, the curve is computed once from them. The global
+rank comes from a range partitioning by the curve index, a count for each partition, and a row's place in its
+partition; no task and not the driver holds more than counts.
+
+Groups of equal texts: rows of one text and equal labels have one index and stand side by side, so they are in one
+shard or, where a run ends among them, in shards that follow each other. Rows of one text under other labels go where
+their labels say.
 
 Defined results: a null dimension goes to cell 0; a null text has size 1 and the crc32 of the empty
-string; equal rows are ordered by their fingerprints and, if wholly equal, by their place; an empty table gives
-an empty result; extra columns don't take part.
+string; rows that are equal in all of this are ordered by their place; an empty table gives an empty
+result; extra columns don't take part.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from lexiloom.session import ship
 
 BITS = 6
 SHARDS = 8
+LABEL_BYTES = 7
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -60,36 +66,39 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def text_cell(c: Column, bits: int = BITS) -> Column:
-    """Cell of a short label, from its first letter and its last number or else second letter."""
-    head = F.ascii(F.lower(F.substring(c, 1, 1)))
-    number = F.coalesce(F.regexp_extract(c, r"([0-9]{1,6})[^0-9]*$", 1).try_cast("int"), F.ascii(F.lower(F.substring(c, 2, 1))))
-    return F.when(c.isNull(), F.lit(0)).otherwise(F.pmod(head * 7 + number, F.lit(1 << bits))).cast("int")
+def label_number(c: Column, skip: int) -> Column:
+    """LABEL_BYTES bytes of a label after the first `skip`, as a number in the order of the labels; -1 for null."""
+    part = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, LABEL_BYTES)), 2 * LABEL_BYTES, "0")
+    return F.coalesce(F.conv(part, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def number_cell(c: Column, bounds: list[float]) -> Column:
-    """How many of the boundaries are below the value."""
-    return F.when(c.isNull(), F.lit(0)).otherwise(sum((F.when(c > b, 1).otherwise(0) for b in bounds), F.lit(0))).cast("int")
+def shared_bytes(low: str | None, high: str | None) -> int:
+    """How many bytes all labels between the two have in common at their beginning."""
+    a, b = (low or "").encode(), (high or "").encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def quantiles(df: DataFrame, column: str, bits: int = BITS) -> list[float]:
-    """2**bits - 1 boundaries over all rows; a summary of fixed size, however many rows there are."""
-    n = 1 << bits
-    got = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000).alias("q")).first().q
-    return sorted(set(map(float, got or [])))
+def cells(values: np.ndarray, bounds: list[int], bits: int = BITS) -> np.ndarray:
+    """How many of the quantiles are below each value."""
+    return np.searchsorted(np.array(bounds, np.int64), values, side="left").clip(0, (1 << bits) - 1)
 
 
 def hilbert_order(docs: DataFrame, labels: tuple[str, ...] = ("lang", "source"), numbers: tuple[str, ...] = ("size",), bits: int = BITS) -> DataFrame:
-    """docs with `curve`. docs must have the columns named."""
+    """docs with `curve`. docs must have the columns named; it is read three times, for the labels' range, the
+    quantiles (2**bits - 1 numbers a dimension) and the curve."""
     ship(docs.sparkSession)
+    ends = docs.agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(labels) for k, f in (("a", F.min), ("b", F.max)))).first()
+    dims = [label_number(F.col(c), shared_bytes(ends[f"a{i}"], ends[f"b{i}"])) for i, c in enumerate(labels)] + [F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")) for c in numbers]
+    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
+    found = docs.agg(*(F.percentile_approx(d, steps, 10_000).alias(f"q{i}") for i, d in enumerate(dims))).first()
+    bounds = [sorted(found[f"q{i}"] or []) for i in range(len(dims))]
 
     @F.pandas_udf("long")
     def index(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in it:
-            yield pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns]), bits))
+            yield pd.Series(hilbert_index(np.stack([cells(c.to_numpy(), b, bits) for c, b in zip(columns, bounds, strict=True)]), bits))
 
-    cells = [text_cell(F.col(c), bits) for c in labels] + [number_cell(F.col(c), quantiles(docs, c, bits)) for c in numbers]
-    return docs.withColumn("curve", index(*cells))
+    return docs.withColumn("curve", index(*dims))
 
 
 def ranked(docs: DataFrame, *order: str) -> DataFrame:
@@ -113,7 +122,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows of sizes(docs) with curve, shard and slot."""
-    rows = ranked(hilbert_order(sizes(docs)), "curve", "doc_id", "print")
+    rows = ranked(cut(hilbert_order(cut(sizes(docs), "sizes")), "curve"), "curve", "print", "doc_id")
     shard = F.expr(f"((rank + 1) * {shards} - 1) div total")
     first = F.expr(f"(shard * total) div {shards}")  # the least rank of the shard
     return rows.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long"))
@@ -121,15 +130,17 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, to: str, shards: int = SHARDS, files_per_shard: int = 4) -> DataFrame:
     """Write whole documents as Parquet, one run of the curve a file, and return the manifest."""
-    placed = assign(docs, shards).select("doc_id", "print", "curve", "shard", "slot", "rank", "total", "size")
+    placed = assign(docs, shards).select("doc_id", "print", "lang", "source", "curve", "shard", "slot", "rank", "total", "size")
     run = F.expr(f"((rank + 1) * {shards * files_per_shard} - 1) div total").cast("int")
     whole = docs.withColumn("print", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     # equal rows have equal keys; numbering them on both sides keeps each once
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id", "print")
-    one, other = placed.withColumn("copy", F.row_number().over(w.orderBy("rank"))), whole.withColumn("copy", F.row_number().over(w.orderBy("source", "lang")))
-    joined = other.join(one.withColumn("run", run), ["doc_id", "print", "copy"]).drop("print", "copy", "rank", "total")
+    key = ("doc_id", "print", "lang", "source")
+    w = Window.partitionBy(*key)
+    one, other = placed.withColumn("copy", F.row_number().over(w.orderBy("rank"))), whole.withColumn("copy", F.row_number().over(w.orderBy(F.monotonically_increasing_id())))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "copy")]
+    joined = other.alias("a").join(one.withColumn("run", run).alias("b"), same).select(*(f"a.{c}" for c in docs.columns), *(f"b.{c}" for c in ("curve", "shard", "slot", "size", "run") if c not in docs.columns))
     joined.repartitionByRange(shards * files_per_shard, "run").sortWithinPartitions("run", "slot").write.partitionBy("shard").parquet(to)
     return manifest(docs.sparkSession.read.parquet(to))
 
