@@ -398,7 +398,7 @@ def extract(pages: DataFrame) -> DataFrame:
     edges = {r.rank: _place(r.host, r.path, r.page) for r in placed.where(F.col("rank").isin(wanted)).collect()} if wanted else {}  # three rows a run
     starts, lows, highs = ([edges[r + d] for r in begin] for d in (0, -NEAR[-1], NEAR[-1]))
     dealt = keyed.mapInArrow(_parsed(starts, lows, highs), "run int, own boolean, host string, path string, page bigint, url string, z binary")
-    ordered = dealt.repartition("run").sortWithinPartitions("run", "host", "path", "page", "url", "z")
+    ordered = dealt.repartitionById(max(1, runs // 4), F.col("run")).sortWithinPartitions("run", "host", "path", "page", "url", "z")
     return ordered.select("run", "own", "host", "page", "url", "z").mapInArrow(_differenced, OUT)
 
 
