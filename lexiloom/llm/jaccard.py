@@ -12,13 +12,17 @@ those that occur again, then the most frequent ones by the logarithm of their co
 
 A shingle that occurs once is in no other set, so nothing is posted for it. The order needs the
 counts only approximately, and any order gives the same links, so they come as a bitmap of fixed
-size (shingles seen again) and a table of at most HOT_KEYS frequent ones; both are broadcast.
+size (shingles seen again) and a table of the frequent ones, both broadcast. Frequent are those that have at least
+one in HOT_KEYS of all postings, so there are HOT_KEYS of them at most and a list outside the table holds no larger
+share. Where the corpus fills the bitmap, shingles that occur once aren't told any more and prefixes are posted whole:
+more postings, the same links.
 
 Lists aren't expanded into pairs. Lists with the same documents are kept once. A list is scanned
 in order and all of it is compared with its first document only. Documents so linked get one
 label. Where a list still holds several labels, what isn't under its most frequent label is
-compared with documents that are, others for each list, for some rounds; then the rest is
-compared pair by pair. Pairs are left out only where a bound proves that they can't link: two sets
+compared with documents that are, others for each list, for some rounds; the rest is
+compared pair by pair, but first by what the bounds need: rows of a list that agree in it are one kind, kinds of the list that
+may link are joined, and only then their documents, in blocks. Pairs are left out only where a bound proves that they can't link: two sets
 share at most what comes after their first common key in the order, nothing that occurs once,
 and in each part of the fingerprints no more than the lesser has there; and the Jaccard distance
 keeps the triangle inequality. So no link between different texts is lost, and
@@ -43,17 +47,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
-from lexiloom.llm.checkpoints import cut
+from lexiloom.llm.checkpoints import cut, discard
 from lexiloom.llm.components import components
 from lexiloom.session import ship
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # J >= 0.75
 BITMAP_BITS = 27  # 16 MB, however large the corpus
-HOT_KEYS = 1 << 19  # 4 MB of keys and as much of counts
+HOT_KEYS = 1 << 19  # 4 MB of keys and as much of counts, however large the corpus
 HOT_COUNT = 64
 FLUSH = 1_000_000
-LARGEST_LIGHT = 48
+BLOCK = 1024
 ROUNDS = 1
 SALT = 64
 SKETCH = 64
@@ -118,7 +122,9 @@ class _Seen:
 
 def _counter(bits: int):
     """Rows (bucket, blob): sorted 32-bit remainders as differences, and counts, of the shingles of
-    about FLUSH postings; a bucket is the top `bits` bits of the fingerprint."""
+    FLUSH postings or, with many buckets, of up to 8 times as many, so that blobs hold some keys; a bucket is
+    the top `bits` bits of the fingerprint."""
+    least = max(FLUSH, min(8 * FLUSH, 64 << bits))
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.concatenate(held) >> np.uint64(32 - bits)
@@ -143,7 +149,7 @@ def _counter(bits: int):
                     if len(s) and seen.new(s):
                         held.append(s)
                         n += len(s)
-                if n >= FLUSH:
+                if n >= least:
                     yield flush(held)
                     held, n = [], 0
         if held:
@@ -152,7 +158,7 @@ def _counter(bits: int):
     return run
 
 
-def _merge_counts(bits: int, bitmap_bits: int, hot_count: int, hot_keys: int):
+def _merge_counts(bits: int, bitmap_bits: int, hot_count: int):
     """All blobs of a bucket -> its slice of the bitmap, its most frequent keys, and sums."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -172,7 +178,6 @@ def _merge_counts(bits: int, bitmap_bits: int, hot_count: int, hot_keys: int):
         slots = np.zeros(1 << bits_here, bool)
         slots[keys[again] >> np.uint32(32 - bits_here)] = True
         hot = np.flatnonzero(counts >= hot_count)
-        hot = hot[np.argsort(-counts[hot], kind="stable")][: hot_keys >> bits]
         whole = (np.uint64(key[0]) << np.uint64(32)) | keys[hot].astype(np.uint64)
         n = counts[again].astype(float)
         return pd.DataFrame({"bucket": [key[0]], "bitmap": [np.packbits(slots, bitorder="little").tobytes()], "hot": [whole.astype("<u8").tobytes()], "count": [counts[hot].astype("<i8").tobytes()], "total": [float(counts.sum())], "again": [float(n.sum())], "square": [float((n * n).sum())]})
@@ -228,24 +233,25 @@ class Order:
         return (np.concatenate(keys), np.concatenate(hot), np.concatenate(after), n - first) if keys else none
 
 
-def choose_boundary(sizes: dict[int, int], again: float, list_length: float, largest: int = LARGEST_LIGHT) -> int:
-    """Light sets are those of at most this size. again: share of postings that occur again;
-    list_length: mean length of the list that such a posting is in."""
+def choose_boundary(sizes: dict[int, int], again: float, list_length: float) -> int:
+    """Light sets are those of at most this size: of all sizes that occur, and 0, the one of least cost. again: share
+    of postings that occur again; list_length: mean length of the list that such a posting is in. What occurs again
+    stands together, in copies, so of a pair of shingles about that share occurs again too, in lists shorter by as much."""
     p = lambda n, k: max(n - needed(n) + k, 0)
     lists = lambda n: again * p(n, 1) * (1 + list_length)  # noqa: E731  a posting, and what its list holds
-    subsets = lambda n: (again * p(n, 2)) ** 2 / 2 * (1 + again * list_length)
-
-    def cost(x: int) -> float:
-        return sum(c * (subsets(n) if n <= x else 0) + c * (lists(n) if n >= needed(x + 1) else 0) for n, c in sizes.items())
-
-    return min(range(largest + 1), key=lambda x: (cost(x), x))
+    subsets = lambda n: again * math.comb(p(n, 2), 2) * (1 + again * list_length)
+    ns = sorted(sizes)
+    light = np.cumsum([0.0, *(sizes[n] * subsets(n) for n in ns)])
+    heavy = np.cumsum([0.0, *(sizes[n] * lists(n) for n in ns)])
+    cost = {x: light[k] + heavy[-1] - heavy[np.searchsorted(ns, needed(x + 1))] for k, x in enumerate([0, *ns])}
+    return min(cost, key=lambda x: (cost[x], x))
 
 
 def common_order(docs: DataFrame, sets: DataFrame, bitmap_bits: int = BITMAP_BITS, hot_keys: int = HOT_KEYS, hot_count: int = HOT_COUNT) -> Order:
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     bits = min(20, max(6, math.ceil(math.log2(max(total, 1) / 2_000_000 + 1))))
     blobs = docs.mapInArrow(_counter(bits), "bucket int, blob binary")
-    merged = blobs.groupBy("bucket").applyInPandas(_merge_counts(bits, bitmap_bits, hot_count, hot_keys), "bucket int, bitmap binary, hot binary, count binary, total double, again double, square double")
+    merged = blobs.groupBy("bucket").applyInPandas(_merge_counts(bits, bitmap_bits, max(hot_count, math.ceil(total / hot_keys))), "bucket int, bitmap binary, hot binary, count binary, total double, again double, square double")
     bitmap, hot, counts, sums = np.zeros(1 << (bitmap_bits - 3), np.uint8), [], [], np.zeros(3)
     width = len(bitmap) >> bits
     for r in merged.collect():  # as many bytes as the bitmap and the table have
@@ -256,7 +262,8 @@ def common_order(docs: DataFrame, sets: DataFrame, bitmap_bits: int = BITMAP_BIT
     keys = np.concatenate(hot) if hot else np.zeros(0, np.uint64)
     freq = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     order = np.argsort(keys)
-    sizes = {r.n: r["count"] for r in sets.where(f"n BETWEEN 1 AND {2 * LARGEST_LIGHT}").groupBy("n").count().collect()}
+    band = F.when(F.col("n") > 1024, F.floor(F.pow(F.lit(1.01), F.ceil(F.log("n") / math.log(1.01))))).otherwise(F.col("n")).cast("long")
+    sizes = {r.n: r["count"] for r in sets.where("n > 0").groupBy(band.alias("n")).count().collect()}  # large sizes by hundredths: some thousand rows
     boundary = choose_boundary(sizes, sums[1] / max(sums[0], 1), sums[2] / max(sums[1], 1))
     return Order(bits, bitmap, keys[order].astype(np.uint64), freq[order], boundary)
 
@@ -416,7 +423,10 @@ def may_link_here(x: str, y: str):
 
 def labels_of(links: DataFrame) -> DataFrame:
     """(doc, label): components so far. Equal labels mean that two documents needn't be compared."""
-    return components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    found = components(links)
+    out = found.select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    out._written_at = found._written_at
+    return out
 
 
 def join_components(docs: DataFrame, **limits: int) -> DataFrame:
@@ -441,25 +451,35 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
     links = compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
     labels = labels_of(links)
 
-    members = lists.select("key", "doc", "n", "again", "after", "pivot")
+    members = lists.select("key", "salt", "doc", "n", "again", "after", "pivot")
+    salted = cut(lists.where("salt > 0").select("key", "salt").distinct(), "salted")
+    written = [compared, labels]
     for turn in range(ROUNDS + 1):
         marked = members.join(labels, "doc", "left").select(*members.columns, F.coalesce("label", "doc").alias("label"))
         some = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("doc", "n", "again"), F.xxhash64("doc", "key", F.lit(turn))).alias("p"))
         most = some.groupBy("key").agg(F.max_by(F.struct("label", "p"), F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        open_ = marked.join(most.select("key", F.col("most.label").alias("most"), F.col("most.p.doc").alias("p_doc"), F.col("most.p.n").alias("p_n"), F.col("most.p.again").alias("p_again")), "key")
+        # a frequent key's rows stay dealt over its salts
+        most = most.select("key", F.lit(0).alias("salt"), "most").unionByName(most.join(salted, "key").select("key", "salt", "most"))
+        open_ = marked.join(most.select("key", "salt", F.col("most.label").alias("most"), F.col("most.p.doc").alias("p_doc"), F.col("most.p.n").alias("p_n"), F.col("most.p.again").alias("p_again")), ["key", "salt"])
         if turn < ROUNDS:
             pairs = open_.where("label <> most").where(may_link("", "p_")).select("p_doc", "doc")
             fresh = compared_pairs(pairs, "p_doc", "doc", texts, compared)
         else:
-            fresh = compared_pairs(rest(cut(open_.drop("p_doc", "p_n", "p_again"), "open"), compared, texts), "a", "b", texts, compared)
+            left = cut(open_.drop("p_doc", "p_n", "p_again", "salt"), "open")
+            pairs, kinds = rest(left, compared, texts)
+            fresh = compared_pairs(pairs, "a", "b", texts, compared)
+            written += [left, kinds]
+        written.append(fresh)
         compared = compared.unionByName(fresh)
         links = compared.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
         if turn < ROUNDS:
             labels = labels_of(links)
+            written.append(labels)
     equal = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = equal.groupBy("digest").agg(F.min("doc_id").alias("v"))
     same = equal.join(classes, "digest").select(F.col("doc_id").alias("u"), "v").where("u <> v")
-    found = components(links.unionByName(same))
+    found = components(links.unionByName(same))  # written: nothing below reads what comes before
+    discard(lists, texts, salted, *written)
     return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -471,16 +491,25 @@ def compared_pairs(pairs: DataFrame, x: str, y: str, texts: DataFrame, known: Da
     return cut(compare(some, texts), "compared")
 
 
-def rest(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of one list under different labels that may link. What is under the list's most
-    frequent label is not joined with itself."""
+def rest(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, the written table of kinds): pairs of one list under different labels that may link. What is under the list's most
+    frequent label is not joined with itself. Rows of a list of one size and place (n, after) are one kind; kinds meet first, by
+    bands of sizes that can link, and only documents of kinds that may link meet, a large kind in blocks of about BLOCK."""
+    kinds = open_.groupBy("key", "n", "after").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("label") != F.col("most")).alias("few"))
+    kinds = cut(kinds.withColumn("blocks", (1 + F.col("m") / BLOCK).cast("int")), "kinds")
+    band = F.floor(F.log("n") / math.log(DEN / NUM)).cast("int")
+    one = kinds.where("few > 0").select("key", F.col("n").alias("x_n"), F.col("after").alias("x_after"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    may = one.join(kinds.withColumn("band", band), ["key", "band"]).where(may_link_here("", "x_")).select("key", "x_n", "x_after", "n", "after", "blocks")
+
     far = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").unionByName(compared.select(F.col("b").alias("x"), F.col("a").alias("y"), "far"))
     rows = open_.join(far.select(F.col("x").alias("pivot"), F.col("y").alias("doc"), "far"), ["pivot", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
     rows = rows.join(texts.select("doc", "sketch"), "doc")
     few = rows.where("label <> most").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "again", "after", "label", "pivot", "far", "sketch")))
+    few = few.join(may, ["key", "x_n", "x_after"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.join(kinds.select("key", "n", "after", "blocks"), ["key", "n", "after"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks")
     limit = 1 - NUM / DEN + 1e-9
     apart = F.coalesce((F.col("pivot") == F.col("x_pivot")) & (F.abs(F.col("far") - F.col("x_far")) > limit), F.lit(False))
     most = F.aggregate(F.zip_with("sketch", "x_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
     close = most * DEN >= (F.col("n") + F.col("x_n") - most) * NUM
-    out = few.join(rows, "key").where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("doc") < F.col("x_doc")))).where(may_link_here("", "x_"))
-    return out.where(~apart).where(close).select(F.col("doc").alias("a"), F.col("x_doc").alias("b"))
+    out = few.join(dealt, ["key", "n", "after", "block"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("doc") < F.col("x_doc"))))
+    return out.where(~apart).where(close).select(F.col("doc").alias("a"), F.col("x_doc").alias("b")), kinds
