@@ -43,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
@@ -492,24 +492,30 @@ def compared_pairs(pairs: DataFrame, x: str, y: str, texts: DataFrame, known: Da
 
 
 def rest(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, the written table of kinds): pairs of one list under different labels that may link. What is under the list's most
-    frequent label is not joined with itself. Rows of a list of one size and place (n, after) are one kind; kinds meet first, by
-    bands of sizes that can link, and only documents of kinds that may link meet, a large kind in blocks of about BLOCK."""
+    """(pairs, the written table of kinds): pairs of one list under different labels that may link. What is under
+    the list's most frequent label is not joined with itself. Rows of a list of one size and place (n, after) are one
+    kind; kinds in their order make blocks of about BLOCK rows, a larger kind several. A kind goes to the blocks whose least size
+    and last place it may link with, and only there documents meet: a list of usual length is one block."""
     kinds = open_.groupBy("key", "n", "after").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("label") != F.col("most")).alias("few"))
-    kinds = cut(kinds.withColumn("blocks", (1 + F.col("m") / BLOCK).cast("int")), "kinds")
-    band = F.floor(F.log("n") / math.log(DEN / NUM)).cast("int")
-    one = kinds.where("few > 0").select("key", F.col("n").alias("x_n"), F.col("after").alias("x_after"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    may = one.join(kinds.withColumn("band", band), ["key", "band"]).where(may_link_here("", "x_")).select("key", "x_n", "x_after", "n", "after", "blocks")
-
-    far = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").unionByName(compared.select(F.col("b").alias("x"), F.col("a").alias("y"), "far"))
-    rows = open_.join(far.select(F.col("x").alias("pivot"), F.col("y").alias("doc"), "far"), ["pivot", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    rows = rows.join(texts.select("doc", "sketch"), "doc")
-    few = rows.where("label <> most").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "again", "after", "label", "pivot", "far", "sketch")))
-    few = few.join(may, ["key", "x_n", "x_after"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.join(kinds.select("key", "n", "after", "blocks"), ["key", "n", "after"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks")
+    in_order = Window.partitionBy("key").orderBy("n", "after").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("m").over(in_order), F.lit(0))
+    kinds = cut(kinds.withColumn("block", (before / BLOCK).cast("int")).withColumn("parts", (1 + F.col("m") / BLOCK).cast("int")), "kinds")
+    blocks = kinds.groupBy("key", "block").agg(F.min("n").alias("b_n"), F.max("after").alias("b_after"), F.max("parts").alias("parts"))
+    meets = kinds.where("few > 0").select("key", "n", "after").join(blocks, "key").where(may_link_here("", "b_")).select("key", "n", "after", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    far = compared.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "far").unionByName(compared.select(F.col("b").alias("pivot"), F.col("a").alias("doc"), "far"))
+
+    def known(rows: DataFrame) -> DataFrame:
+        """rows with their distance from the list's pivot, where it is known, and their sketches."""
+        rows = rows.join(far, ["pivot", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
+        return rows.join(texts.select("doc", "sketch"), "doc")
+
+    dealt = known(open_.join(kinds.select("key", "n", "after", "block", "parts"), ["key", "n", "after"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("parts", "again"))
+    few = known(open_.where("label <> most").drop("again", "most").join(meets, ["key", "n", "after"]))
+    few = few.select("key", "block", "part", *(F.col(c).alias(f"x_{c}") for c in ("doc", "n", "after", "label", "pivot", "far", "sketch")))
     limit = 1 - NUM / DEN + 1e-9
     apart = F.coalesce((F.col("pivot") == F.col("x_pivot")) & (F.abs(F.col("far") - F.col("x_far")) > limit), F.lit(False))
     most = F.aggregate(F.zip_with("sketch", "x_sketch", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
     close = most * DEN >= (F.col("n") + F.col("x_n") - most) * NUM
-    out = few.join(dealt, ["key", "n", "after", "block"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("doc") < F.col("x_doc"))))
+    out = few.join(dealt, ["key", "block", "part"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("doc") < F.col("x_doc")))).where(may_link_here("", "x_"))
     return out.where(~apart).where(close).select(F.col("doc").alias("a"), F.col("x_doc").alias("b")), kinds
