@@ -91,11 +91,16 @@ def lines(c: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(c, r"\n\z", ""), "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
+#: Lines that have nothing but number signs and white space, and what stands before the text of the next one.
+_BEFORE_TITLE = r"\A(?:{s}*+#*+{s}*+\n)*+{s}*+#*+{s}*+".replace("{s}", r"[ \t\x0b\f\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def derive_title(body: Column, fallback: str | Column = "") -> Column:
-    """The first line that has text beside leading number signs, without them, cut at 120 characters."""
-    bare = F.transform(F.split(body, "\n"), lambda x: trimmed(F.regexp_replace(trimmed(x), r"^#+", "")))
-    first = F.try_element_at(F.filter(bare, lambda x: x != ""), F.lit(1))
-    return F.coalesce(F.substring(first, 1, TITLE_CHARS), F.lit(fallback) if isinstance(fallback, str) else fallback)
+    """The first line that has text beside leading number signs, without them, cut at 120 characters. Only the
+    text's beginning is looked at."""
+    line = F.regexp_extract(body, rf"{_BEFORE_TITLE}([^\n]*)", 1)
+    title = F.nullif(F.substring(trimmed(line), 1, TITLE_CHARS), F.lit(""))
+    return F.coalesce(title, F.lit(fallback) if isinstance(fallback, str) else fallback)
 
 
 def parse_time(c: Column) -> Column:
@@ -153,13 +158,11 @@ def is_page_marker(line: Column) -> Column:
 
 
 def split_pages(body: Column) -> Column:
-    """Pages between marker lines, without newlines at their ends; one page at least."""
-    pages = F.aggregate(
-        lines(body),
-        F.array(F.lit("")),
-        lambda a, x: F.when(is_page_marker(x), F.concat(a, F.array(F.lit("")))).otherwise(F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.when(F.element_at(a, -1) == "", x).otherwise(F.concat_ws("\n", F.element_at(a, -1), x))))),
-    )
-    return F.transform(pages, lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
+    """Pages between marker lines, without newlines at their ends; one page at least. Cut in one pass: a marker
+    line goes with the newline before it, and a page begins after the newline that ends it."""
+    text = F.array_join(lines(body), "\n")
+    marker = r"(?i)(?:\A|\n)[^\S\n]*+={3,}[^\S\n]*+halaman[^\S\n]*+={3,}[^\S\n]*+(?=\n|\z)"
+    return F.transform(F.split(text, marker, -1), lambda p: F.regexp_replace(p, r"\A\n+|\n+\z", ""))
 
 
 def join_pages(pages: Column) -> Column:

@@ -9,9 +9,12 @@ code points.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from functools import cache
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +25,37 @@ WORD = r"[\p{IsAlphabetic}\p{N}'’]+"
 APOSTROPHES = "'’"
 REASONS = ("frontmatter", "code_fence", "inline_code", "url", "email", "mention", "tag", "link_target", "has_digit", "acronym")
 TOKEN = "pos int, byte_start int, byte_end int, char_start int, char_end int, word string, reason string"
+NEIGHBOURS = "prev_word string, next_word string"
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _LINK = re.compile(r"(?=(https://|http://|ftp://|www\.))", re.S)
 _LINK_END = re.compile(r"[ \t\n\r\f]|\Z")
+_MARKS = re.compile(r"[@#`\]]|://|www\.")
 _ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-+")
+_DOMAIN = re.compile(r"[A-Za-z0-9._-]*")
 _NAME = re.compile(r"(?:(?<=[ \t\n\r\f(\[\"'])|\A)([@#])[A-Za-z0-9_/-]+")
 
 
+class _Cover:
+    """Half-open ranges, merged, and whether a place is in one of them."""
+
+    def __init__(self, ranges: Iterable[tuple[int, int]]):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(ranges):
+            if a >= b:
+                continue
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def end(self, i: int) -> int | None:
+        k = bisect_right(self.begins, i) - 1
+        return self.ends[k] if k >= 0 and i < self.ends[k] else None
+
+
 def zones(text: str) -> list[tuple[int, int, str]]:
     """Protected ranges in code points, by start and end."""
     out: list[tuple[int, int, str]] = []
@@ -44,12 +70,15 @@ def zones(text: str) -> list[tuple[int, int, str]]:
             at = end + 1
     fences = [m.span() for m in _FENCE.finditer(text)]
     out += [(a, b, "code_fence") for a, b in fences]
+    marks = [m.start() for m in _MARKS.finditer(text)]  # each of them begins a zone or doesn't
+    if not marks:
+        return out
 
+    fence = _Cover(fences)
     at = text.find("`")
     while at >= 0:
-        inside = next((b for a, b in fences if a <= at < b), None)
-        if inside is not None:
-            at = text.find("`", at + 1)
+        if (end := fence.end(at)) is not None:
+            at = text.find("`", end)
             continue
         close = text.find("`", at + 1)
         if close < 0:
@@ -57,33 +86,37 @@ def zones(text: str) -> list[tuple[int, int, str]]:
         out.append((at, close + 1, "inline_code"))
         at = text.find("`", close + 1)
 
-    covered = lambda i: any(a <= i < b for a, b, _ in out)
+    covered = _Cover((a, b) for a, b, _ in out)
     starts: dict[str, list[int]] = {}
     for m in _LINK.finditer(text):
         starts.setdefault(m[1], []).append(m.start())
     for scheme in ("https://", "http://", "ftp://", "www."):
+        found = []
         for a in starts.get(scheme, ()):
-            if not covered(a):
+            if covered.end(a) is None and not (found and a < found[-1][1]):
                 b = _LINK_END.search(text, a).start()
-                out.append((a, a + len(text[a:b].rstrip(".,)];:!?")), "url"))
+                found.append((a, a + len(text[a:b].rstrip(".,)];:!?")), "url"))
+        if found:
+            out += found
+            covered = _Cover((a, b) for a, b, _ in out)
 
-    marks = [m.start() for m in re.finditer("[@#]", text)]
+    named: list[tuple[int, int]] = []  # zones of this loop, which later marks must not stand in
     for i in marks:
-        if covered(i):
+        if text[i] not in "@#" or covered.end(i) is not None or named and named[-1][0] <= i < named[-1][1]:
             continue
         before = text[i - 1] if i else " "
         if text[i] == "@" and before in _ADDRESS:
-            a, b = i, i + 1
+            a, b = i, _DOMAIN.match(text, i + 1).end()
             while a and text[a - 1] in _ADDRESS:
                 a -= 1
-            while b < len(text) and text[b] in _ADDRESS and text[b] != "+":
-                b += 1
             while b > i + 1 and text[b - 1] == ".":
                 b -= 1
             if "." in text[i + 1 : b]:
                 out.append((a, b, "email"))
+                named.append((a, b))
         elif (m := _NAME.match(text, i)) is not None:
             out.append((i, m.end(), "mention" if text[i] == "@" else "tag"))
+            named.append((i, m.end()))
 
     at = text.find("](")
     while at >= 0:
@@ -96,65 +129,102 @@ def zones(text: str) -> list[tuple[int, int, str]]:
 
 
 _RUNS = re.compile(rf"(?:[^\W_]|[{APOSTROPHES}])+")
+_FIRST_MARK = "\u0345"  # the first letter-like mark that only \p{Alphabetic} takes
+
+
+@cache
+def _runs_with_marks() -> re.Pattern:
+    import regex
+
+    return regex.compile(rf"[\p{{Alphabetic}}\p{{N}}{APOSTROPHES}]+")
 
 
 def tokens_of(text: str) -> list[tuple[int, int, str | None]]:
     """(start, end, reason) of each word, in code points."""
-    ranges = zones(text)
-    begins, reach, furthest = [a for a, _, _ in ranges], [], 0
-    for _, b, _ in ranges:
-        furthest = max(furthest, b)
-        reach.append(furthest)
+    return [(s, e, why) for s, e, _, why in _words_of(text)]
+
+
+def _words_of(text: str, zoned: bool = True) -> list[tuple[int, int, str, str | None]]:
+    """(start, end, word, reason) of each word."""
+    ranges = zones(text) if zoned else []
+    touched = _Touched(ranges)
     out = []
-    for run in _RUNS.finditer(text):
-        raw = run[0]
-        word = raw.strip(APOSTROPHES)
-        if word:
-            s = run.start() + len(raw) - len(raw.lstrip(APOSTROPHES))
-            out.append((s, s + len(word), _reason(word, s, s + len(word), ranges, begins, reach)))
+    runs = _RUNS if text.isascii() or max(text) < _FIRST_MARK else _runs_with_marks()
+    for run in runs.finditer(text):
+        word, s = run[0], run.start()
+        if word[0] in APOSTROPHES or word[-1] in APOSTROPHES:
+            bare = word.lstrip(APOSTROPHES)
+            s += len(word) - len(bare)
+            word = bare.rstrip(APOSTROPHES)
+            if not word:
+                continue
+        e = s + len(word)
+        why = touched.label(s, e) if ranges else None
+        if why is None:
+            if not word.isalpha() and any(c.isnumeric() for c in word):
+                why = "has_digit"
+            elif word[0].isupper() and word[-1].isupper() and len(letters := [c for c in word if c.isalpha()]) >= 2 and all(c.isupper() for c in letters):
+                why = "acronym"
+        out.append((s, e, word, why))
     return out
 
 
-def _reason(word: str, s: int, e: int, ranges, begins, reach) -> str | None:
-    if (near := bisect_left(begins, e)) and reach[near - 1] > s:
-        for a, b, why in ranges:
-            if s < b and a < e:
-                return why
-    if any(c.isnumeric() for c in word):
-        return "has_digit"
-    letters = [c for c in word if c.isalpha()]
-    return "acronym" if len(letters) >= 2 and all(c.isupper() for c in letters) else None
+class _Touched:
+    """Labels of words by the zones they touch; words come in order. Of several zones the first by (start, end) counts."""
+
+    def __init__(self, ranges: list[tuple[int, int, str]]):
+        self.ranges, self.at, self.open = ranges, 0, []
+
+    def label(self, s: int, e: int) -> str | None:
+        while self.at < len(self.ranges) and self.ranges[self.at][0] < e:
+            heappush(self.open, self.ranges[self.at])
+            self.at += 1
+        while self.open and self.open[0][1] <= s:
+            heappop(self.open)
+        # ended zones deeper in the heap begin after the top, which is still open
+        return self.open[0][2] if self.open else None
 
 
-def _batches(text_at: int, names: list[str]):
+def _batches(text_at: int, names: list[str], zoned: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows, cols = [], ([], [], [], [], [], [], [])
-            for i, text in enumerate(batch.column(text_at).to_pylist()):
-                if not text:
-                    continue
-                plain = text.isascii()
-                at = byte = 0
-                for pos, (s, e, why) in enumerate(tokens_of(text)):
-                    bs = s if plain else byte + len(text[at:s].encode())
-                    be = e if plain else bs + len(text[s:e].encode())
-                    at, byte = e, be
-                    rows.append(i)
-                    for c, v in zip(cols, (pos, bs, be, s, e, text[s:e], why), strict=True):
-                        c.append(v)
-            keep = pa.array(rows, pa.int64())
-            types = (pa.int32(),) * 5 + (pa.string(),) * 2
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(keep) for i in range(len(names)) if i != text_at), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*(n for i, n in enumerate(names) if i != text_at), *(x.split()[0] for x in TOKEN.split(", "))])
+            sizes, found, at_byte, pos, before, after = [], [], [], [], [], []
+            for text in batch.column(text_at).to_pylist():
+                rows = _words_of(text, zoned) if text else []
+                sizes.append(len(rows))
+                found += rows
+                pos += range(len(rows))
+                if text and not text.isascii():  # bytes before each place
+                    width = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+                    at_byte.append(np.concatenate([[0], np.cumsum(1 + (width > 0x7F).astype(np.int32) + (width > 0x7FF) + (width > 0xFFFF))])[np.array([x for r in rows for x in r[:2]], np.int64)].astype(np.int32))
+                else:
+                    at_byte.append(np.array([x for r in rows for x in r[:2]], np.int32))
+                near = None
+                for r in rows:
+                    before.append(near)
+                    near = r[2] if r[3] is None else near
+                near, back = None, []
+                for r in reversed(rows):
+                    back.append(near)
+                    near = r[2] if r[3] is None else near
+                after += reversed(back)
+            keep = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            bytes_ = np.concatenate(at_byte) if at_byte else np.zeros(0, np.int32)
+            columns = [pa.array(pos, pa.int32()), pa.array(bytes_[::2]), pa.array(bytes_[1::2]), *(pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(keep) for i in range(len(names)) if i != text_at), *columns], [*(n for i, n in enumerate(names) if i != text_at), *(x.split()[0] for x in f"{TOKEN}, {NEIGHBOURS}".split(", "))])
 
     return run
 
 
-def tokens(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """A row for each word: keys and TOKEN; reason is null for words that aren't protected."""
+def tokens(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", zoned: bool = True, neighbours: bool = False) -> DataFrame:
+    """A row for each word: keys and TOKEN, and NEIGHBOURS if asked for; reason is null for words that aren't
+    protected. Without zones a word is protected only for what it is itself. Neighbours are found in the row's own
+    text, so they need no shuffle."""
     ship(docs.sparkSession)
     some = docs.select(*keys, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.drop("_text").schema.fields)
-    return some.mapInArrow(_batches(len(keys), some.columns), f"{kept}, {TOKEN}")
+    out = some.mapInArrow(_batches(len(keys), some.columns, zoned), f"{kept}, {TOKEN}, {NEIGHBOURS}")
+    return out if neighbours else out.drop("prev_word", "next_word")
 
 
 def words(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

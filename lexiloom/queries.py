@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.functions.morphology import stem_list
 from lexiloom.operators import correct, dictionary, fuzzy, search, store
-from lexiloom.operators.tokenize import tokens, with_neighbours, words
+from lexiloom.operators.tokenize import tokens, words
 from lexiloom.plans import notes as plan
 from lexiloom.session import ship, table
 from lexiloom.sources import export, notes as note_files
@@ -185,11 +185,8 @@ _NEAR = f"""near AS (SELECT doc_id, lang, pos, word, last_value(CASE WHEN free T
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """Words with the reasons that words themselves give; the tables' texts have hardly any zone."""
-    rows = words(docs)
-    letters = F.regexp_replace("word", r"[^\p{IsAlphabetic}]", "")
-    acronym = (F.length(letters) >= 2) & ~letters.rlike(r"[^\p{Lu}]")
-    return with_neighbours(rows.withColumn("reason", F.when(F.col("word").rlike(r"\p{N}"), "has_digit").when(acronym, "acronym")))
+    """Words with their neighbours; what zones protect is left to tests, as the SQL has no zones."""
+    return tokens(docs, zoned=False, neighbours=True)
 
 
 @query(f"WITH {_WORDS}, {_NEAR} SELECT doc_id, pos::INT AS pos, word, prev_word, next_word FROM near")

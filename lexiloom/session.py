@@ -43,11 +43,27 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     plan use is made once, and a lost executor costs a re-read. A local folder stands in only
     where the setting is unset, as in tests."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lexiloom-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/lexiloom-checkpoints"
     path = f"{base.rstrip('/')}/lexiloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its files hold fewer: a file of one row group is one task however
+    many splits it has. Tables of more files stay as they are and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Tables of texts, whose rows cost enough to be spread.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name in TEXTS else read
