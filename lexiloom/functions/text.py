@@ -330,15 +330,14 @@ def parse_roman(c: Column) -> Column:
     """Value of a canonical Roman numeral, else null."""
     s = F.lower(c)
     canonical = s.rlike(r"^(?=.)m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
-    # two-letter units must be taken out before any single letter is counted
-    twos = [(n, x) for n, x in _ROMAN if len(x) == 2]
-    value, rest = F.lit(0), s
-    for n, x in twos:
-        value = value + F.when(rest.contains(x), n).otherwise(0)
-        rest = F.replace(rest, F.lit(x), F.lit(""))
-    for n, x in _ROMAN:
-        if len(x) == 1:
-            value = value + n * (F.length(rest) - F.length(F.replace(rest, F.lit(x), F.lit(""))))
+    worth = F.create_map(*(F.lit(v) for n, x in _ROMAN if len(x) == 1 for v in (x, n)))
+
+    def add(a: Column, letter: Column) -> Column:
+        """From the right: a letter before a greater one is taken off."""
+        n = F.coalesce(F.element_at(worth, letter), F.lit(0))
+        return F.struct((a["n"] + F.when(n < a["last"], -n).otherwise(n)).alias("n"), n.alias("last"))
+
+    value = F.aggregate(F.reverse(F.split(s, "")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), add)["n"]
     return F.when(canonical, value)
 
 
@@ -361,3 +360,71 @@ def next_marker(marker: Column, previous: Column) -> Column:
     letter = F.when(F.ascii(low) >= 122, "z").otherwise(F.char(F.ascii(low) + 1))
     said = F.when(kind == "roman", roman).otherwise(letter)
     return F.when(kind == "numeric", (marker.try_cast("long") + 1).cast("string")).when(upper, F.upper(said)).otherwise(said)
+
+
+#: Where an ordered list line begins: indentation, marker, its sign, content; and a bulleted one.
+_ORDERED = rf"\A({_SPACE}*)([0-9]+|[A-Za-z]+)([.)])[ \t]+([^\r\n]*)"
+_BULLET = rf"\A({_SPACE}*)([-*+])[ \t]+([^\r\n]*)\z"
+INDENT = "  "
+
+
+def _line_before(text: Column, position: Column) -> Column:
+    """What stands between the beginning of the position's line and the position."""
+    return F.regexp_extract(F.substring(text, F.lit(1), position), r"[^\n]*\z", 0)
+
+
+def previous_marker(text: Column, line_start: Column, indent: Column, sign: Column) -> Column:
+    """The marker of an ordered list line just before a line, of the same indentation and sign, else null."""
+    line = _line_before(text, line_start - 1)
+    part = lambda k: F.regexp_extract(line, _ORDERED, k)
+    return F.when((line_start > 0) & line.rlike(_ORDERED) & (part(1) == indent) & (part(3) == sign), part(2))
+
+
+def continue_list(text: Column, position: Column) -> Column:
+    """struct(text, caret) after a line break at a position in a list line: the next line gets the bullet or the next
+    marker; a line without content loses its marker instead. Null outside of a list."""
+    line = _line_before(text, position)
+    start = position - F.length(line)
+    bullet, number = line.rlike(_BULLET), line.rlike(_ORDERED + r"\z")
+    part = lambda k: F.regexp_extract(line, _ORDERED, k)
+    content = F.when(bullet, F.regexp_extract(line, _BULLET, 3)).otherwise(part(4))
+    following = next_marker(part(2), F.coalesce(previous_marker(text, start, part(1), part(3)), F.lit("")))
+    added = F.when(bullet, F.concat(F.lit("\n"), F.regexp_extract(line, _BULLET, 1), F.regexp_extract(line, _BULLET, 2), F.lit(" "))).otherwise(F.concat(F.lit("\n"), part(1), following, part(3), F.lit(" ")))
+    after = F.substring(text, position + 1, F.length(text))
+    ends = F.struct(F.concat(F.substring(text, F.lit(1), start), after).alias("text"), start.cast("int").alias("caret"))
+    goes_on = F.struct(F.concat(F.substring(text, F.lit(1), position), added, after).alias("text"), (position + F.length(added)).cast("int").alias("caret"))
+    return F.when(bullet | number, F.when(trimmed(content) == "", ends).otherwise(goes_on))
+
+
+def _block_start(text: Column, start: Column) -> Column:
+    """Where the selection's first line begins; an empty first line before position 0 is left out."""
+    return F.when((start == 0) & text.startswith("\n"), 1).otherwise(start - F.length(_line_before(text, start)))
+
+
+def _selected(text: Column, start: Column, end: Column) -> tuple[Column, Column, Column, Column]:
+    at = _block_start(text, start)
+    return at, F.substring(text, F.lit(1), at), F.substring(text, at + 1, F.greatest(end - at, F.lit(0))), F.substring(text, F.greatest(end, at) + 1, F.length(text))
+
+
+def indented(text: Column, start: Column, end: Column) -> Column:
+    """struct(text, start, end): one step before every line of the selection, or at the caret if nothing is selected."""
+    at, before, block, after = _selected(text, start, end)
+    n = F.size(F.split(block, "\n"))
+    lines_ = F.concat(before, F.lit(INDENT), F.replace(block, F.lit("\n"), F.lit(f"\n{INDENT}")), after)
+    caret = F.concat(F.substring(text, F.lit(1), start), F.lit(INDENT), F.substring(text, start + 1, F.length(text)))
+    return F.struct(F.when(start == end, caret).otherwise(lines_).alias("text"), (start + len(INDENT)).cast("int").alias("start"), F.when(start == end, end + len(INDENT)).otherwise(end + len(INDENT) * n).cast("int").alias("end"))
+
+
+def outdented(text: Column, start: Column, end: Column) -> Column:
+    """struct(text, start, end): up to two spaces or one tab taken from every line of the selection."""
+    at, before, block, after = _selected(text, start, end)
+    step = r"(?:\A|(?<=\n))(?: {1,2}|\t)"
+    left = F.regexp_replace(block, step, "")
+    first = F.length(F.regexp_extract(block, r"\A(?: {1,2}|\t)?", 0))
+    return F.struct(F.concat(before, left, after).alias("text"), F.greatest(at, start - first).cast("int").alias("start"), (end - (F.length(block) - F.length(left))).cast("int").alias("end"))
+
+
+def utf16_of_byte(text: Column, byte_offset: Column) -> Column:
+    """UTF-16 units before a UTF-8 byte offset; null inside a character."""
+    before = F.substring(F.encode(text, "UTF-8"), F.lit(1), byte_offset).cast("string")
+    return F.when(F.is_valid_utf8(before), F.length(before) + F.length(F.regexp_replace(before, r"[\x{0}-\x{ffff}]", "")))

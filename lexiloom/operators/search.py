@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import stored
+
 # ---- fixed values -------------------------------------------------------------------------
 TITLE_WEIGHT, BODY_WEIGHT = 12.0, 1.0
 K1, B = 1.2, 0.75
@@ -30,7 +32,7 @@ _MARKED = {c: d for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.norma
 def plain(c: Column) -> Column:
     """Lower-cased, without diacritics."""
     bare = F.translate(c, "".join(_MARKED), "".join(_MARKED.values()))
-    return F.lower(F.regexp_replace(bare, r"\p{M}+", ""))
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(bare, r"\p{M}+", "")).otherwise(c))
 
 
 def plain_text(s: str) -> str:
@@ -101,6 +103,70 @@ def prefixes(post: DataFrame, lengths: tuple[int, ...] = (2, 3, 4), key: str = "
     return some.select(F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring("term", F.lit(1), n)))).alias("prefix"), "term")
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored index: documents (key, title, updated_at, pinned, trashed_at, n_terms), postings (term, key, column,
+    positions) in ranges of terms, so a term or a prefix reads few of them, bodies (key, body) and one row of totals."""
+
+    documents: DataFrame
+    postings: DataFrame
+    bodies: DataFrame
+    totals: DataFrame
+    key: str = "id"
+
+
+def build(notes: DataFrame, key: str = "id") -> Index:
+    """Index notes: texts are cut into terms once; a note's postings are made inside its row."""
+    cut = notes.select(key, "title", "body", "updated_at", "pinned", "trashed_at", terms(F.coalesce("title", F.lit(""))).alias("t"), terms(F.coalesce("body", F.lit(""))).alias("b"))
+    cut = stored(cut.withColumn("n_terms", F.size("t") + F.size("b")), "terms")
+    rows = None
+    for name in ("t", "b"):
+        part = cut.select(key, F.lit("title" if name == "t" else "body").alias("column"), F.posexplode(name).alias("position", "term"))
+        rows = part if rows is None else rows.unionByName(part)
+    posts = rows.groupBy(key, "term", "column").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    posts = stored(posts.repartitionByRange("term").sortWithinPartitions("term", key), "postings")
+    documents = stored(cut.select(key, "title", "updated_at", "pinned", "trashed_at", "n_terms"), "documents")
+    totals = stored(documents.agg(F.count(F.lit(1)).alias("N"), F.avg("n_terms").alias("D")), "totals")
+    return Index(documents, posts, cut.select(key, "body"), totals, key)
+
+
+def phrase_counts(index: Index, phrases: list[Phrase]) -> DataFrame:
+    """(key, phrase, t, b): how often each phrase occurs in titles and bodies; only documents that have it. A part
+    of a phrase stands as far from the first one as in the phrase."""
+    wanted = [(i, k, part, p.prefix and k == len(p.parts) - 1) for i, p in enumerate(phrases) for k, part in enumerate(p.parts)]
+    test = lambda part, prefix: F.col("term").startswith(part) if prefix else F.col("term") == part
+    any_of = F.lit(False)
+    for _, _, part, prefix in wanted:
+        any_of = any_of | test(part, prefix)
+    tags = F.filter(F.array(*(F.when(test(part, prefix), F.struct(F.lit(i).alias("phrase"), F.lit(k).alias("part"))) for i, k, part, prefix in wanted)), lambda x: x.isNotNull())
+    rows = index.postings.where(any_of).select(index.key, "column", "positions", F.explode(tags).alias("x")).select(index.key, "column", "positions", "x.*")
+    begins = F.transform("positions", lambda at: at - F.col("part"))
+    rows = rows.select(index.key, "column", "phrase", "part", F.explode(begins).alias("at")).distinct()
+    size = F.element_at(F.create_map(*(F.lit(x) for i, p in enumerate(phrases) for x in (i, len(p.parts)))), F.col("phrase"))
+    whole = rows.groupBy(index.key, "column", "phrase", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
+    return whole.groupBy(index.key, "phrase").agg(F.count_if(F.col("column") == "title").alias("t"), F.count_if(F.col("column") == "body").alias("b"))
+
+
+def search_index(index: Index, query: str, variants: tuple[str, ...] = (), limit: int | None = LIMIT) -> DataFrame:
+    """search() over a stored index: reads the postings of the query's terms, scores ids, and fetches bodies
+    only for the notes that are shown."""
+    groups, key = query_groups(query, variants), index.key
+    phrases = list(dict.fromkeys(p for g in groups for p in g))
+    if not phrases:
+        return index.documents.select(key, "title", "updated_at", "pinned", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
+    counts = phrase_counts(index, phrases)
+    wide = counts.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("phrase") == i, F.col(c))), F.lit(0)).alias(f"_{c}{i}") for i in range(len(phrases)) for c in "tb"))
+    having = counts.groupBy().agg(*(F.count_if(F.col("phrase") == i).alias(f"_n{i}") for i in range(len(phrases))))
+    totals = index.totals.select(F.struct(F.col("N").alias("_N"), F.col("D").alias("_D")))
+    rows = wide.join(index.documents.where("trashed_at IS NULL"), key).withColumn("_s", having.select(F.struct(*having.columns)).scalar()).withColumn("_a", totals.scalar())
+    score, matched = _score(groups, phrases, lambda n: F.col(f"_a.{n}") if n in ("_N", "_D") else F.col(f"_s.{n}"))
+    found = rows.where(matched).withColumn("score", score).select(key, "title", "updated_at", "pinned", "score")
+    order = (F.col("pinned").desc(), F.col("score"), F.col(key))
+    shown = found.orderBy(*order).limit(limit) if limit is not None else found
+    out = shown.join(index.bodies, key).select(key, "title", "updated_at", "pinned", snippet(F.col("body"), phrases).alias("snippet"), "score")
+    return out.orderBy(*order) if limit is not None else out
+
+
 def hits(words: Column, p: Phrase) -> Column:
     """How often a phrase occurs in an array of terms."""
 
@@ -129,9 +195,18 @@ def search(index: DataFrame, query: str, variants: tuple[str, ...] = (), limit:
     seen = lambda i: (F.col(f"_t{i}") + F.col(f"_b{i}")) > 0
     stats = slim.agg(F.count(F.lit(1)).alias("_N"), F.avg("n_terms").alias("_D"), *(F.count_if(seen(i)).alias(f"_n{i}") for i in range(len(phrases))))
     rows = slim.withColumn("_s", stats.select(F.struct(*stats.columns)).scalar())
-    idf = lambda i: F.log((F.col("_s._N") - F.col(f"_s._n{i}") + 0.5) / (F.col(f"_s._n{i}") + 0.5))
+    score, matched = _score(groups, phrases, lambda n: F.col(f"_s.{n}"))
+    found = rows.where(matched & F.col("trashed_at").isNull()).withColumn("score", score)
+    out = found.select(key, "title", "updated_at", "pinned", snippet(F.col("body"), phrases).alias("snippet"), "score")
+    return out.orderBy(F.col("pinned").desc(), "score", key).limit(limit) if limit is not None else out
+
+
+def _score(groups: list[Group], phrases: list[Phrase], stat) -> tuple[Column, Column]:
+    """(score, whether a group matches) from the counts _t0, _b0 ... and n_terms of a row and the statistics _N, _D, _n0 ..."""
+    seen = lambda i: (F.col(f"_t{i}") + F.col(f"_b{i}")) > 0
+    idf = lambda i: F.log((stat("_N") - stat(f"_n{i}") + 0.5) / (stat(f"_n{i}") + 0.5))
     f = lambda i: TITLE_WEIGHT * F.col(f"_t{i}") + BODY_WEIGHT * F.col(f"_b{i}")
-    part = lambda i: F.when(idf(i) > 0, idf(i)).otherwise(LEAST_IDF) * f(i) * (K1 + 1) / (f(i) + K1 * (1 - B + B * F.col("n_terms") / F.col("_s._D")))
+    part = lambda i: F.when(idf(i) > 0, idf(i)).otherwise(LEAST_IDF) * f(i) * (K1 + 1) / (f(i) + K1 * (1 - B + B * F.col("n_terms") / stat("_D")))
     score, matched = F.lit(0.0), F.lit(False)
     for g in groups:
         ids = [phrases.index(p) for p in g]
@@ -140,9 +215,7 @@ def search(index: DataFrame, query: str, variants: tuple[str, ...] = (), limit:
             holds = holds & seen(i)
         score = score - F.when(holds, sum((part(i) for i in ids), F.lit(0.0))).otherwise(0.0)
         matched = matched | holds
-    found = rows.where(matched & F.col("trashed_at").isNull()).withColumn("score", score)
-    out = found.select(key, "title", "updated_at", "pinned", snippet(F.col("body"), phrases).alias("snippet"), "score")
-    return out.orderBy(F.col("pinned").desc(), "score", key).limit(limit) if limit is not None else out
+    return score, matched
 
 
 def snippet(body: Column, phrases: list[Phrase], size: int = SNIPPET_TOKENS) -> Column:

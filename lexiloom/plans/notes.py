@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import TITLE_FALLBACK, derive_title
-from lexiloom.operators import dictionary
+from lexiloom.operators import dictionary, search
 from lexiloom.operators.correct import Resources
 from lexiloom.operators.tokenize import words
 from lexiloom.session import ship, stored, table
@@ -32,6 +32,17 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def note_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored search index of the notes, built once in a session and searched often."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = search.build(notes(spark, sf_dir))
+    return _INDEXES[at]
+
+
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'en'")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions.morphology import stem_list
-from lexiloom.operators import correct, dictionary, fuzzy, search, store
+from lexiloom.operators import correct, dictionary, fuzzy, ranks, search, store
 from lexiloom.operators.tokenize import tokens, words
 from lexiloom.plans import notes as plan
 from lexiloom.session import ship, table
@@ -171,12 +171,12 @@ def vocabulary_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.with_probability(_merged(spark, sf_dir)).select("word", F.round("log_prob", 6).alias("log_prob"))
 
 
-_PAIRS = "pairs AS (SELECT l AS left_word, r AS right_word, count(*)::BIGINT AS n FROM (SELECT lower(word) AS l, lower(lead(word) OVER (PARTITION BY doc_id ORDER BY pos)) AS r FROM words WHERE lang = 'en') WHERE r IS NOT NULL GROUP BY 1, 2)"
+_PAIRS = "pairs AS (SELECT l AS left_word, r AS right_word, count(*)::BIGINT AS n FROM (SELECT lower(word) AS l, lower(lead(word) OVER (PARTITION BY doc_id ORDER BY pos)) AS r FROM words) WHERE r IS NOT NULL GROUP BY 1, 2)"
 
 
 @query(f"WITH {_WORDS}, {_PAIRS} SELECT left_word, right_word, n FROM pairs")
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.pair_counts_of_texts(plan.english(spark, sf_dir)).select(F.col("left").alias("left_word"), F.col("right").alias("right_word"), F.col("count").alias("n"))
+    return dictionary.pair_counts_of_texts(table(spark, sf_dir, "documents")).select(F.col("left").alias("left_word"), F.col("right").alias("right_word"), F.col("count").alias("n"))
 
 
 _FREE = "(NOT regexp_matches(word, '\\p{N}') AND NOT (length(regexp_replace(word, '[^\\p{L}]', '', 'g')) >= 2 AND NOT regexp_matches(regexp_replace(word, '[^\\p{L}]', '', 'g'), '[^\\p{Lu}]')))"
@@ -195,9 +195,9 @@ def neighbour_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_WORDS}, {_PAIRS}, {_NEAR} SELECT doc_id, pos::INT AS pos, round(CASE WHEN prev_word IS NULL THEN 0 ELSE ln(coalesce(a.n, 0) + 0.5) END + CASE WHEN next_word IS NULL THEN 0 ELSE ln(coalesce(b.n, 0) + 0.5) END, 6) AS context,
- (coalesce(a.n > 0, false)::INT + coalesce(b.n > 0, false)::INT) AS evidence FROM near LEFT JOIN pairs a ON a.left_word = lower(prev_word) AND a.right_word = lower(word) LEFT JOIN pairs b ON b.left_word = lower(word) AND b.right_word = lower(next_word) WHERE lang = 'en'""")
+ (coalesce(a.n > 0, false)::INT + coalesce(b.n > 0, false)::INT) AS evidence FROM near LEFT JOIN pairs a ON a.left_word = lower(prev_word) AND a.right_word = lower(word) LEFT JOIN pairs b ON b.left_word = lower(word) AND b.right_word = lower(next_word)""")
 def bigram_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = plan.english(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
     rows = _marked(docs).withColumn("lower", F.lower("word"))
     return fuzzy.with_context(rows, dictionary.pair_counts_of_texts(docs), "lower").select("doc_id", "pos", F.round("context", 6).alias("context"), "evidence")
 
@@ -226,13 +226,14 @@ def case_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORD_PART = r"[\p{L}\p{M}\p{N}_]"
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '\\bnd\\b', 'and', 'g')) AS corrected_hash, len(regexp_extract_all(text, '\\bnd\\b'))::BIGINT AS n_edits FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')")
+@query("""SELECT doc_id, md5(array_to_string(list_transform(runs, lambda x: CASE WHEN x = 'nd' THEN 'and' ELSE x END), '')) AS corrected_hash, len(list_filter(runs, lambda x: x = 'nd'))::BIGINT AS n_edits
+ FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+') AS runs FROM documents)""")
 def apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One word replaced wherever it stands alone, in every text: no letter, mark, number or underscore on either side.
-    The SQL has the rows of ASCII texts alone; tests hold the others by brute force."""
+    """One word replaced wherever it stands alone, in every text: no letter, mark, number or underscore on either side."""
     docs = table(spark, sf_dir, "documents")
     parts = F.split("text", rf"(?<!{_WORD_PART})nd(?!{_WORD_PART})", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * 2)
+    ends = F.transform(parts, F.length)
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, n: a + n) + (i - 1) * 2)
     edits = F.when(F.size(parts) > 1, F.transform(F.slice(starts, F.lit(1), F.size(parts) - 1), lambda s: F.struct(s.alias("char_start"), (s + 2).alias("char_end"), F.lit("and").alias("to")))).otherwise(F.array().cast("array<struct<char_start:int,char_end:int,to:string>>"))
     return docs.select("doc_id", F.md5(correct.edited(F.col("text"), edits)).alias("corrected_hash"), F.size(edits).cast("long").alias("n_edits"))
 
@@ -246,13 +247,18 @@ def delete_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.variants(some, 1)
 
 
-@query(f"""WITH {_WORDS}, v AS (SELECT lower(word) AS word, count(*) AS freq FROM words WHERE lang = 'en' AND regexp_matches(lower(word), '^[a-z]+$') GROUP BY 1), d AS (SELECT word FROM v WHERE freq >= 25),
- vt AS (SELECT word AS typed, unnest(CASE WHEN length(p) > 1 THEN list_append({_DROP.format('p')}, p) ELSE [p] END) AS variant FROM (SELECT word, left(word, 7) AS p FROM v)),
- vd AS (SELECT word, unnest(CASE WHEN length(p) > 1 THEN list_append({_DROP.format('p')}, p) ELSE [p] END) AS variant FROM (SELECT word, left(word, 7) AS p FROM d))
-SELECT DISTINCT typed, word, damerau_levenshtein(typed, word)::INT AS distance FROM vt JOIN vd USING (variant) WHERE damerau_levenshtein(typed, word) <= 1""")
+_PREFIX = f"unnest(CASE WHEN length(p) > 1 THEN list_append({_DROP.format('p')}, p) ELSE [p] END)"
+_ONE_EDIT = f"""CASE WHEN typed = word THEN 0 WHEN length(typed) = length(word) THEN CASE WHEN len(d) = 1 OR len(d) = 2 AND d[2] = d[1] + 1 AND typed[d[1]] = word[d[2]] AND typed[d[2]] = word[d[1]] THEN 1 END
+ WHEN length(typed) = length(word) + 1 AND list_contains({_DROP.format('typed')}, word) THEN 1 WHEN length(word) = length(typed) + 1 AND list_contains({_DROP.format('word')}, typed) THEN 1 END"""
+
+
+@query(f"""WITH {_WORDS}, v AS (SELECT lower(word) AS word, count(*) AS freq FROM words GROUP BY 1), d AS (SELECT word FROM v WHERE freq >= 25),
+ vt AS (SELECT word AS typed, {_PREFIX} AS variant FROM (SELECT word, left(word, 7) AS p FROM v)), vd AS (SELECT word, {_PREFIX} AS variant FROM (SELECT word, left(word, 7) AS p FROM d)),
+ near AS (SELECT DISTINCT typed, word FROM vt JOIN vd USING (variant) WHERE abs(length(typed) - length(word)) <= 1),
+ one AS (SELECT typed, word, ({_ONE_EDIT})::INT AS distance FROM (SELECT *, list_filter(range(1, length(typed) + 1), lambda i: typed[i] <> word[i]) AS d FROM near))
+SELECT typed, word, distance FROM one WHERE distance IS NOT NULL""")
 def fuzzy_candidates_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every text with the frequent words one edit away. The SQL has English words of a to z alone;
-    tests hold the others by brute force."""
+    """Every word of every text with the frequent words one edit away at most."""
     freq = dictionary.from_tokens(words(table(spark, sf_dir, "documents")))
     return fuzzy.matches(freq.select(F.col("word").alias("typed")), freq.where("freq >= 25"), 1).select("typed", "word", "distance")
 
@@ -297,57 +303,70 @@ _QUERY = "the thin"
 _FTS_TERMS = "regexp_extract_all(lower(strip_accents({0})), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def _bm25_sql(terms: list[tuple[str, bool]]) -> str:
+def _bm25_sql(groups: list[list[tuple[str, bool]]], columns: str) -> str:
+    """columns of the notes that match one of the groups of (term, whether it is a prefix)."""
+    terms = list(dict.fromkeys(t for g in groups for t in g))
     count = lambda c, t, p: f"len(list_filter({c}, lambda x: {'starts_with(x, ' + chr(39) + t + chr(39) + ')' if p else 'x = ' + chr(39) + t + chr(39)}))"
     cols = ", ".join(f"{count('tt', t, p)} AS t{i}, {count('bt', t, p)} AS b{i}" for i, (t, p) in enumerate(terms))
     stat = ", ".join(f"count(*) FILTER (WHERE t{i} + b{i} > 0) AS n{i}" for i in range(len(terms)))
     idf = lambda i: f"ln((total - n{i} + 0.5) / (n{i} + 0.5))"
     part = lambda i: f"CASE WHEN {idf(i)} > 0 THEN {idf(i)} ELSE 1e-6 END * (12.0 * t{i} + b{i}) * 2.2 / ((12.0 * t{i} + b{i}) + 1.2 * (0.25 + 0.75 * (len(tt) + len(bt)) / mean))"
+    holds = [" AND ".join(f"t{terms.index(t)} + b{terms.index(t)} > 0" for t in g) for g in groups]
+    score = " + ".join(f"CASE WHEN {h} THEN {' + '.join(part(terms.index(t)) for t in g)} ELSE 0 END" for h, g in zip(holds, groups, strict=True))
     return f"""WITH {_NOTES}, f AS (SELECT *, {_FTS_TERMS.format('title')} AS tt, {_FTS_TERMS.format('body')} AS bt FROM notes), c AS (SELECT *, {cols} FROM f),
- s AS (SELECT count(*) AS total, avg(len(tt) + len(bt)) AS mean, {stat} FROM c)
-SELECT id, title, pinned, round(-({' + '.join(part(i) for i in range(len(terms)))}), 6) AS score FROM c, s WHERE {' AND '.join(f't{i} + b{i} > 0' for i in range(len(terms)))} AND trashed_at IS NULL"""
+ s AS (SELECT count(*) AS total, avg(len(tt) + len(bt)) AS mean, {stat} FROM c), found AS (SELECT *, -({score}) AS score FROM c, s WHERE ({' OR '.join(f'({h})' for h in holds)}) AND trashed_at IS NULL)
+SELECT {columns} FROM found"""
+
+
+_HIT = "id, title, pinned, round(score, 6) AS score"
 
 
 def _found(spark: SparkSession, sf_dir: str, text: str, variants: tuple[str, ...] = ()) -> DataFrame:
-    return search.search(search.indexed(plan.notes(spark, sf_dir)), text, variants, limit=None)
+    return search.search_index(plan.note_index(spark, sf_dir), text, variants, limit=None)
 
 
-@query(_bm25_sql([("the", False), ("thin", True)]))
+@query(_bm25_sql([[("the", False), ("thin", True)]], _HIT))
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, _QUERY).select("id", "title", "pinned", F.round("score", 6).alias("score"))
 
 
-@query(_bm25_sql([("éle", True)]).replace("'éle'", "'ele'"))
+@query(_bm25_sql([[("ele", True)]], _HIT))
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "Éle").select("id", "title", "pinned", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_NOTES} SELECT id, term, column_name, count(*)::BIGINT AS n FROM (SELECT id, unnest({_FTS_TERMS.format('title')}) AS term, 'title' AS column_name FROM notes UNION ALL SELECT id, unnest({_FTS_TERMS.format('body')}), 'body' FROM notes) GROUP BY 1, 2, 3")
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(plan.notes(spark, sf_dir)).select("id", "term", F.col("column").alias("column_name"), F.size("positions").cast("long").alias("n"))
+    return plan.note_index(spark, sf_dir).postings.select("id", "term", F.col("column").alias("column_name"), F.size("positions").cast("long").alias("n"))
 
 
-@query()
+@query(_bm25_sql([[("thnd", True)], [("then", True)]], "id, title, round(score, 6) AS score"))
 def search_typo_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query and its corrected form."""
-    text = "thnd entre"
+    """The query and its corrected form: a known typo becomes the word that was meant."""
+    text = "thnd"
     one = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
     fixed = correct.apply(one, correct.check(one, plan.resources(spark, sf_dir), _settings())).first().corrected  # one row
     return _found(spark, sf_dir, text, (fixed,) if fixed != text else ()).select("id", "title", F.round("score", 6).alias("score"))
 
 
-@query()
+_HIT_WORD = "regexp_matches(trim(regexp_replace(lower(strip_accents(x)), '[^\\p{L}\\p{N}]+', ' ', 'g')), '(?:^|\\s)the(?:\\s|$)|(?:^|\\s)thin')"
+_SNIPPET = f"""(SELECT CASE WHEN st > 1 THEN '…' ELSE '' END || array_to_string(list_transform(w[st:st + 11], lambda x: CASE WHEN {_HIT_WORD} THEN '«' || x || '»' ELSE x END), ' ') || CASE WHEN st + 11 < len(w) THEN '…' ELSE '' END
+ FROM (SELECT w, greatest(least(coalesce(nullif(list_position(list_transform(w, lambda x: {_HIT_WORD}), true), 0), 1) - 2, len(w) - 11), 1) AS st FROM (SELECT list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS w)))"""
+
+
+@query("SELECT id, snippet, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '«', '<mark>'), '»', '</mark>') AS html FROM (" + _bm25_sql([[("the", False), ("thin", True)]], f"id, {_SNIPPET} AS snippet") + ")")
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(search.indexed(plan.notes(spark, sf_dir)), _QUERY).select("id", "snippet", T.highlight_snippet(F.col("snippet")).alias("html"))
+    """Snippets of all notes that match."""
+    return _found(spark, sf_dir, _QUERY).select("id", "snippet", T.highlight_snippet(F.col("snippet")).alias("html"))
 
 
 # --- text utilities ------------------------------------------------------------------------------
 _PAGED = "replace(text, chr(10), chr(10) || '=== halaman ===' || chr(10))"
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_pages, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(10))), '|')) AS pages_hash FROM documents WHERE right(text, 1) <> chr(10)")
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_pages, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(10))), '|')) AS pages_hash FROM documents")
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line a page; texts that end in a newline, which the SQL leaves out, end in an empty page."""
+    """Every line a page; a text that ends in a newline ends in an empty page."""
     docs = table(spark, sf_dir, "documents")
     paged = F.replace(F.col("text"), F.lit("\n"), F.lit("\n=== halaman ===\n"))
     return docs.select("doc_id", T.count_pages(paged).alias("n_pages"), F.md5(F.array_join(T.split_pages(paged), "|")).alias("pages_hash"))
@@ -395,8 +414,9 @@ def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*)::BIGINT AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events")
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and nearest-rank percentiles of measured values."""
-    exact = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), exact(0.5).alias("p50"), exact(0.99).alias("p99"))
+    rows = table(spark, sf_dir, "events")
+    found = ranks.percentiles(rows, "value", (0.5, 0.99))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean")).select("*", *(F.lit(v).alias(n) for n, v in zip(("p50", "p99"), found, strict=True)))
 
 
 @query("SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (WHERE quality = 1)::BIGINT AS n_good, count(*) FILTER (WHERE toxic = 1)::BIGINT AS n_toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -419,7 +439,7 @@ def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times written as RFC 3339 in the session's zone and read again."""
     rows = table(spark, sf_dir, "events").select("event_id", F.to_utc_timestamp(F.date_trunc("second", "ts"), "UTC").alias("ts"))
-    said = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    said = T.format_time(F.unix_timestamp("ts"))
     return rows.select("event_id", said.alias("said")).withColumn("seconds", T.parse_time(F.col("said")))
 
 
@@ -466,7 +486,7 @@ def changed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- files -----------------------------------------------------------------------------------------
-@query()
+@query(f"WITH {_NOTES} SELECT id, true AS same FROM notes")
 def front_matter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes rendered and parsed again, and whether anything changed."""
     rows = plan.notes(ship(spark), sf_dir)
@@ -478,7 +498,7 @@ def front_matter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", same.alias("same"))
 
 
-@query(f"WITH {_NOTES} SELECT id || '|' || title AS name, md5(CASE WHEN lower(trim(regexp_replace(trim(string_split(body, chr(10))[1]), '^#+', ''))) = lower(title) THEN body ELSE title || chr(10) || chr(10) || body END) AS content_hash FROM notes WHERE right(body, 1) <> chr(10) AND left(body, 1) <> chr(10)")
+@query(f"WITH {_NOTES} SELECT id || '|' || title AS name, md5(CASE WHEN lower(trim(regexp_replace(trim(string_split(body, chr(10))[1]), '^#+', ''))) = lower(title) THEN '' ELSE title || chr(10) || chr(10) END || trim(body, chr(10))) AS content_hash FROM notes")
 def export_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan.notes(spark, sf_dir)
     return rows.select(F.concat_ws("|", "id", "title").alias("name"), F.md5(export.as_txt(F.col("title"), F.col("body"))).alias("content_hash"))
@@ -493,3 +513,6 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = export.exported(rows, kind).select("path", F.lit(kind).alias("format"), F.octet_length("content").alias("n_bytes"), F.hex(F.substring("content", 1, 4)).alias("head"))
         out = made if out is None else out.unionByName(made)
     return out
+
+
+from lexiloom import unit_queries  # noqa: E402, F401  it adds its queries to the two tables

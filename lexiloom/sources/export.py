@@ -111,37 +111,65 @@ def pdf_bytes(title: str, pages: list[list[str]]) -> bytes:
     return out.getvalue()
 
 
-def pdf_pages(title: Column, body: Column) -> Column:
-    """Wrapped lines of each page; a line of the first page that repeats the title is left out."""
-    twice = T.body_starts_with_title(title, body)
-
-    def lines(page: Column, i: Column) -> Column:
-        kept = F.filter(F.split(page, "\n"), lambda x: ~(twice & (i == 0) & (T.trimmed(x) == T.trimmed(title))))
-        return F.flatten(F.transform(kept, lambda x: T.wrap_line(T.sanitize_for_pdf(x), LINE_CHARS)))
-
-    return F.transform(T.split_pages(body), lines)
+_SPACES = " \t\n\x0b\x0c\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def wrapped(line: str, width: int) -> list[str]:
+    """T.wrap_line() of one line, in time that grows with the line."""
+    if not line.strip(_SPACES):
+        return [""]
+    cut = lambda s: [s[i : i + width] for i in range(0, max(len(s), 1), width)]
+    out = [""]
+    for word in line.split(" "):
+        last = out[-1]
+        if last == "" or len(last) + 1 + len(word) <= width:
+            out[-1:] = cut(f"{last} {word}" if last else word)
+        else:
+            out += cut(word)
+    return out[:-1] if out[-1] == "" and len(out) > 1 else out
+
+
+def _pdf(title: str, pages: list[str], twice: bool) -> bytes:
+    """Wrapped pages; a line of the first page that repeats the title is left out."""
+    sheets = []
+    for i, page in enumerate(pages):
+        kept = (x for x in page.split("\n") if not (twice and i == 0 and x.strip(_SPACES) == title.strip(_SPACES)))
+        sheets.append([part for x in kept for part in wrapped(x, LINE_CHARS)])
+    return pdf_bytes(title, sheets)
 
 
 def _writer(write: Callable):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            made = [write(t or "", p or []) for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [write(t or "", p or [], bool(twice)) for t, p, twice in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
     return run
 
 
+def named(notes: DataFrame, ending: str) -> DataFrame:
+    """notes with `path`: the title's safe name and, where several notes would have it (in any case), the note's id."""
+    rows = notes.withColumn("_name", T.safe_file_name(F.col("title"))).withColumn("_low", F.lower("_name"))
+    if "id" not in notes.columns:
+        return rows.withColumn("path", F.concat("_name", F.lit(f".{ending}"))).drop("_name", "_low")
+    several = rows.groupBy("_low").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_low", F.lit(True).alias("_several"))
+    rows = rows.join(several, "_low", "left")
+    return rows.withColumn("path", F.concat("_name", F.when(F.col("_several"), F.concat(F.lit("-"), T.safe_file_name(F.col("id")))).otherwise(""), F.lit(f".{ending}"))).drop("_name", "_low", "_several")
+
+
 def exported(notes: DataFrame, format_name: str) -> DataFrame:
     """(path, content) of notes with title and body, for sources.notes.write_files."""
     ship(notes.sparkSession)
     kind = parse_format(format_name)
     title, body = F.col("title"), F.col("body")
-    path = F.concat(T.safe_file_name(title), F.lit(f".{kind}")).alias("path")
+    rows = named(notes, kind)
     if kind in ("txt", "md"):
         made = as_txt(title, body) if kind == "txt" else as_markdown(title, body)
-        return notes.select(path, made.cast("binary").alias("content"))
+        return rows.select("path", made.cast("binary").alias("content"))
+    pages, twice = T.split_pages(body), T.body_starts_with_title(title, body)
     if kind == "docx":
-        rows = notes.select(path, title.alias("title"), T.split_pages(body).alias("pages"))
+        rows = rows.select("path", title.alias("title"), pages.alias("pages"), twice.alias("twice"))
     else:
-        rows = notes.select(path, T.sanitize_for_pdf(title).alias("title"), pdf_pages(title, body).alias("pages"))
-    return rows.mapInArrow(_writer(docx_bytes if kind == "docx" else pdf_bytes), "path string, content binary")
+        rows = rows.select("path", T.sanitize_for_pdf(title).alias("title"), T.split_pages(T.sanitize_for_pdf(body)).alias("pages"), twice.alias("twice"))
+    write = (lambda t, p, _: docx_bytes(t, p)) if kind == "docx" else _pdf
+    return rows.mapInArrow(_writer(write), "path string, content binary")
