@@ -61,9 +61,20 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(spec: dict) -> None:
+    """Raise for a tokenizer file that asks for more than is done here: plain byte-level merges, and added tokens as they stand."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    marked = [t["content"] for t in spec.get("added_tokens", ()) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if not plain or odd or marked or spec.get("normalizer") or spec.get("truncation") or spec.get("padding"):
+        raise ValueError(f"not a plain byte-level tokenizer: model {odd}, added tokens {marked}, normalizer {spec.get('normalizer')}")
+
+
 class RankMerger:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        refuse_others(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.byte_id = np.zeros(256, np.int64)
         for symbol, byte in byte_symbols().items():

@@ -7,7 +7,7 @@ patterns that end in that block is compared word by word from the end, and what
 confirmed byte by byte.
 
 The benchmark is read to the driver in blocks of at most BLOCK_WORDS words, each broadcast on
-its own; a benchmark of several blocks is searched block after block over the same rows.
+its own; a benchmark of several blocks is searched block after block over the same rows, whose hits are written between.
 
 Defined results: null, empty or word-less texts have no words, no hits and are clean; null or
 word-less items are never found; an item id that is null is left out; repeated documents give
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
+from lexiloom.llm.checkpoints import cut, discard
 from lexiloom.session import ship
 
 WINDOW = 13
@@ -205,33 +206,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     """Per document: keep, n_words, n_hit, n_items, items_sha256, item_ids, contaminated."""
     spark = ship(docs.sparkSession)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    blocks, block, words = [], [], 0
-    for row in items.toLocalIterator():
-        block.append((row.item_id, row.text))
-        words += len(row.text or "") // 2 + 1  # no text has more words
-        if words >= block_words:
-            blocks.append(block)
-            block, words = [], 0
-    if block or not blocks:
-        blocks.append(block)
     clash = set(keep) & {"text", "hits", "items", "n_words", "n_hit", "n_items", "items_sha256", "item_ids", "contaminated"}
     if clash:
         raise ValueError(f"columns named like the result's own: {sorted(clash)}")
     out = docs.select(*keep, "text")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    for i, block in enumerate(blocks):
+    before: DataFrame | None = None
+    for block, last in _blocks(items, block_words):
         tables = spark.sparkContext.broadcast((compile_patterns(block, n), [x for x, _ in block]))
-        last = i == len(blocks) - 1
         schema = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, item_ids array<string>, contaminated boolean" if last else "text string, hits array<bigint>, items array<string>"
         out = out.mapInArrow(_searcher(tables, max(1, len(block)), last, keep), f"{kept}, {schema}")
+        if not last:  # one block at a time: its hits are written and its tables go before the next one comes
+            out = cut(out, "block")
+            tables.destroy()
+            if before is not None:
+                discard(before)
+            before = out
     return out
 
 
+def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+    """(items, whether they are the last) of about block_words words; one block without items for an empty table."""
+    held, block, words = None, [], 0
+    for row in items.toLocalIterator():
+        if words >= block_words:
+            if held is not None:
+                yield held, False
+            held, block, words = block, [], 0
+        block.append((row.item_id, row.text))
+        words += len(row.text or "") // 2 + 1  # no text has more words
+    if held is not None:
+        yield held, False
+    yield block, True
+
+
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with docs' columns (none named _text)."""
-    others = tuple(c for c in docs.columns if c != "text")
-    found = contamination(docs.withColumn("_text", F.col("text")), benchmark, (*others, "_text"))
-    return found.where(~F.col("contaminated")).withColumn("text", F.col("_text")).select(*docs.columns)
+    """The rows of docs that aren't contaminated, with docs' columns, whatever their names."""
+    columns = docs.columns
+    places = [f"_{i}" for i in range(len(columns))]
+    held = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(columns, places, strict=True)), F.col("text"))
+    found = contamination(held, benchmark, tuple(places)).where(~F.col("contaminated"))
+    return found.select(*(F.col(p).alias(c) for c, p in zip(columns, places, strict=True)))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

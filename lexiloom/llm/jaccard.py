@@ -476,8 +476,12 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
             labels = labels_of(links)
             written.append(labels)
     equal = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = equal.groupBy("digest").agg(F.min("doc_id").alias("v"))
-    same = equal.join(classes, "digest").select(F.col("doc_id").alias("u"), "v").where("u <> v")
+    # equal sets: rows of a part of a class link to the part's least, and that to the class's; a large class is many parts
+    equal = equal.select("digest", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("part"))
+    parts = equal.groupBy("digest", "part").agg(F.min("doc_id").alias("v"))
+    whole = parts.groupBy("digest").agg(F.min("v").alias("w"))
+    same = equal.join(parts, ["digest", "part"]).select(F.col("doc_id").alias("u"), "v")
+    same = same.unionByName(parts.join(whole, "digest").select(F.col("v").alias("u"), F.col("w").alias("v"))).where("u <> v")
     found = components(links.unionByName(same))  # written: nothing below reads what comes before
     discard(lists, texts, salted, *written)
     return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

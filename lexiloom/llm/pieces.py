@@ -43,6 +43,9 @@ class PieceCodec:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = "ﬁ Å①  x "
+        if model.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("the model normalises texts beyond marking blanks")
         n = model.get_piece_size()
         self.text = [model.id_to_piece(i) for i in range(n)]
         special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i)}

@@ -89,20 +89,34 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(kind: Kind, text: Column) -> Column:
-    """Array of SPAN: valid matches in order, with their scores."""
-    between = F.transform(F.split(text, kind.pattern, -1), F.length)
-    # the text between matches stays out of the rows: only its lengths and the matches go on
-    found = F.regexp_extract_all(text, _lit(kind.pattern), F.lit(0))
-    start = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(x["value"].isNull() | ~valid(kind.name, x["value"]), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["value"].alias("value"))))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+#: Matches folded at once: a fold copies what it has for each match, so long texts are folded in runs.
+RUN = 64
+
+
+def matches_of(kind: Kind, text: Column) -> Column:
+    """Array of (gap, value): the characters before each match and the match; last what follows, without a match.
+    The text between matches stays out of the rows."""
+    pieces = F.arrays_zip(F.transform(F.split(text, kind.pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, _lit(kind.pattern), F.lit(0)).alias("value"))
+    return F.when(text.rlike(kind.must), pieces).otherwise(F.array().cast("array<struct<gap:int,value:string>>"))
+
+
+def spans_of(kind: Kind, matches: Column, text: Column) -> Column:
+    """Array of SPAN of a column of matches_of(): valid matches in order, with their scores."""
+    size = lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))
+    runs = F.sequence(F.lit(0), F.greatest(((F.size(matches) - 1) / RUN).cast("int"), F.lit(0)))
+    run = lambda i: F.slice(matches, i * RUN + 1, F.lit(RUN))
+    ends = F.transform(runs, lambda i: F.aggregate(run(i), F.lit(0), lambda a, x: a + size(x)))
+    begins = F.aggregate(ends, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def valid_of(x: Column) -> Column:
+        return F.aggregate(
+            run(x["i"]),
+            F.struct(x["at"].alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out")),
+            lambda a, m: F.struct((a["at"] + size(m)).alias("at"), F.when(m["value"].isNull() | ~valid(kind.name, m["value"]), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), m["value"].alias("value"))))).alias("out")),
+            lambda a: a["out"],
+        )
+
+    start = F.flatten(F.transform(F.arrays_zip(runs.alias("i"), F.slice(begins, F.lit(1), F.size(begins) - 1).alias("at")), valid_of))
     before = lambda s: F.lower(F.substring(text, F.greatest(s - CONTEXT, F.lit(0)) + 1, F.least(s, F.lit(CONTEXT))))
     scored = F.transform(
         start,
@@ -112,13 +126,14 @@ def spans_of(kind: Kind, text: Column) -> Column:
         ),
     )
     kept = scored if kind.base else F.filter(scored, lambda x: x["score"] >= THRESHOLD)
-    return F.when(text.rlike(kind.must), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(matches) > 1, kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """docs with one array column of spans for each kind, named pii_<kind>."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({f"pii_{k.name}": spans_of(k, text) for k in KINDS})
+    found = docs.withColumns({f"pii_{k.name}": matches_of(k, text) for k in KINDS})
+    return found.withColumns({f"pii_{k.name}": spans_of(k, F.col(f"pii_{k.name}"), text) for k in KINDS})
 
 
 def joined(names: tuple[str, ...]) -> Column:

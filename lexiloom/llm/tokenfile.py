@@ -16,9 +16,11 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 from struct import pack
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as K
-from lexiloom.llm.bpe import byte_symbols, halve, pretokens, runs
+from lexiloom.llm.bpe import byte_symbols, halve, pretokens, refuse_others, runs
 from lexiloom.llm.checkpoints import shared_dir
 from lexiloom.session import ship
 
@@ -57,6 +59,7 @@ class IdEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        refuse_others(json.loads(Path(path).read_text(encoding="utf-8")))
         library = Tokenizer.from_file(path)
         special = [t.content for t in library.get_added_tokens_decoder().values()]
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
