@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -54,18 +54,12 @@ def variants(words: DataFrame, max_edit: int = MAX_EDIT, word: str = "word") ->
     return words.withColumn("variant", F.explode(delete_variants(F.col(word), max_edit)))
 
 
-def pair_counts(toks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(left, right, count) of neighbouring words of a document, lower-cased."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    pairs = toks.select(F.lower("word").alias("left"), F.lower(F.lead("word").over(w)).alias("right")).where("right IS NOT NULL")
-    return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("count"))
-
-
 def pair_counts_of_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """pair_counts() of plain texts: pairs are made inside each row, so only counts are shuffled."""
+    """(left, right, count) of neighbouring words of each text, lower-cased: pairs are made inside each row, so only counts
+    are shuffled."""
     from lexiloom.operators.tokenize import APOSTROPHES, WORD
 
-    bare = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, rf"^[{APOSTROPHES}]+|[{APOSTROPHES}]+$", ""))
+    bare = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), lambda w: F.btrim(w, F.lit(APOSTROPHES)))
     listed = docs.select(F.filter(bare, lambda w: w != "").alias("w")).where(F.size("w") > 1)
     zipped = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("left"), F.slice("w", F.lit(2), F.size("w") - 1).alias("right"))
     return listed.select(F.inline(zipped)).groupBy("left", "right").agg(F.count(F.lit(1)).alias("count"))

@@ -229,7 +229,7 @@ def tokens(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "te
 
 def words(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Words alone, by built-in functions: keys, pos and word. For texts without zones."""
-    bare = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, rf"^[{APOSTROPHES}]+|[{APOSTROPHES}]+$", ""))
+    bare = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda w: F.btrim(w, F.lit(APOSTROPHES)))
     return docs.select(*keys, F.posexplode(F.filter(bare, lambda w: w != "")).alias("pos", "word"))
 
 

@@ -67,5 +67,7 @@ def resources(spark: SparkSession, sf_dir: str, context: bool = True) -> Resourc
     ship(spark)
     docs = english(spark, sf_dir)
     pairs = stored(dictionary.pair_counts_of_texts(docs), "pairs") if context else None
-    both = [stored(vocabulary(spark, sf_dir, lang), lang) for lang in ("en", "es")]
+    counts = table(spark, sf_dir, "documents").where("lang IN ('en', 'es')")
+    counts = stored(words(counts, ("lang",)).groupBy("lang", F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("freq")), "counts")
+    both = [stored(dictionary.with_probability(dictionary.filtered(dictionary.merged(counts.where(F.col("lang") == lang)), typos(spark))), lang) for lang in ("en", "es")]
     return Resources(*both, typos(spark), slang(spark), pairs)
