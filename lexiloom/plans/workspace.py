@@ -1,8 +1,8 @@
 """A folder of notes with the commands of a note application, each as one DataFrame job.
 
-The state is a note table under `root`, one folder for each version; a command reads the newest and
-writes the next, so a reader never meets half a change. Personal words and undone corrections are
-tables beside it.
+A note is a Markdown file under `root`/files; the note table beside it, one folder for each version, is its index: a
+command reads the newest and writes the next, so a reader never meets half a change. Loading reads the file, which
+may have been edited elsewhere. Trashed files go to files/.trash. Personal words and undone corrections are tables too.
 """
 
 from __future__ import annotations
@@ -96,28 +96,54 @@ class Workspace:
     def list_notes(self, limit: int = store.LIST_LIMIT) -> DataFrame:
         return store.listing(self.notes(), limit)
 
+    def _file(self, path: str) -> dict | None:
+        """What the note's file says; None without a file."""
+        try:
+            lines = self.spark.read.text(f"{self.root}/files/{path}", wholetext=True)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        found = note_files.parse(lines.select(F.lit(path).alias("path"), F.col("value").alias("content"), F.lit(0).cast("bigint").alias("modified"))).first()
+        return found and found.asDict()
+
     def load_note(self, note_id: str) -> dict | None:
-        """The note, counted as opened; None if there is none or it is in the trash."""
+        """The note as its file has it, counted as opened; None if there is none or it is in the trash."""
         row = store.live(self.notes()).where(F.col("id") == note_id).first()
-        if row is None:
+        on_disk = row and self._file(row.path)
+        if on_disk is None:
             return None
         opens = self.spark.createDataFrame([(note_id, _now())], "id string, ts bigint")
         self._write("notes", store.touched(self.notes(), opens))
-        return row.asDict()
+        return row.asDict() | on_disk | {"id": note_id}
 
     def create_note(self, body: str) -> str:
         new = note_files.rendered(store.created(self.spark.createDataFrame([(body,)], "body string"), F.lit(_now()))).drop("content")
         row = new.first()  # one row; its id is made once, here
         made = self.spark.createDataFrame([row], new.schema).select(*store_columns())
+        self._put(made)
         self._write("notes", store.upsert(self.notes(), made))
         return row.id
 
+    def _put(self, notes: DataFrame) -> None:
+        """Write the notes' files; each is moved into place whole."""
+        note_files.write_files(note_files.rendered(notes).select("path", "content"), f"{self.root}/files")
+
     def save_note(self, note: dict) -> None:
+        """Write the note's file, under the name that it has had from the start, and index it."""
         one = self.spark.createDataFrame([tuple(note.get(c) for c in store_columns())], store.SCHEMA)
-        new = note_files.rendered(store.saved(one, F.lit(_now()))).drop("content").select(*store_columns())
+        had = store.path_of(self.notes(), note["id"]).first()
+        ready = store.saved(one, F.lit(_now()))
+        ready = ready.withColumn("path", F.lit(had.path) if had else F.coalesce("path", store.file_name(F.col("title"), F.col("id"))))
+        new = note_files.rendered(ready).drop("content").select(*store_columns())
+        self._put(new)
         self._write("notes", store.upsert(self.notes(), new))
 
     def trash_note(self, note_id: str) -> None:
+        """Mark the note as trashed and move its file, if it is there, to files/.trash."""
+        had = store.path_of(self.notes(), note_id).first()
+        if had is not None:
+            note_files.move_file(f"{self.root}/files", had.path, f".trash/{had.path.rpartition('/')[2]}")
         self._write("notes", store.trash(self.notes(), self.spark.createDataFrame([(note_id,)], "id string"), F.lit(_now())))
 
     def reindex(self, folder: str) -> int:

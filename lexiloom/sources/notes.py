@@ -88,8 +88,11 @@ def rendered(notes: DataFrame) -> DataFrame:
 def write_files(files: DataFrame, root: str) -> int:
     """Write (path, content: binary) as one file each below root, a URI or path that every executor
     can reach. Each file is written under another name and moved into place, so a task that is run
-    again leaves whole files. Returns how many."""
+    again leaves whole files. Two rows with one path are an error, and nothing is written. Returns how many."""
     ship(files.sparkSession)
+    twice = files.groupBy("path").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['count']} files would be written to {twice.path}")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -115,6 +118,18 @@ def write_files(files: DataFrame, root: str) -> int:
     return done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
+def move_file(root: str, path: str, to: str) -> bool:
+    """Move one file below root; False if it isn't there."""
+    from pyarrow.fs import FileSystem, FileType
+
+    fs, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    if fs.get_file_info(f"{base}/{path}").type == FileType.NotFound:
+        return False
+    fs.create_dir(f"{base}/{to}".rpartition("/")[0], recursive=True)
+    fs.move(f"{base}/{path}", f"{base}/{to}")
+    return True
+
+
 def write_table(notes: DataFrame, to: str) -> None:
     """The note table as Parquet, sorted so that lists read few row groups."""
     notes.repartitionByRange(F.col("updated_at").desc()).sortWithinPartitions(F.col("updated_at").desc()).write.mode("overwrite").parquet(to)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import correct, dictionary, search, store
 from lexiloom.plans.workspace import Workspace, store_columns
-from lexiloom.sources import export, notes as files, resources
+from lexiloom.sources import export, notes as note_files, resources
 from lexiloom.streaming.notes import corrected_stream
 
 
@@ -61,7 +61,7 @@ def test_hash_and_changes(spark):
     ],
 )
 def test_front_matter(spark, content, title, body):
-    r = files.parse(spark.createDataFrame([("d/n.md", content, 50)], "path string, content string, modified bigint")).first()
+    r = note_files.parse(spark.createDataFrame([("d/n.md", content, 50)], "path string, content string, modified bigint")).first()
     assert (r.title, r.body) == (title, body)
     if "T: 1" in content:
         assert (r.id, r.tags, r.pinned, r.created_at, r.updated_at) == ("a", ["x", "y z"], True, 1704067200, 1704067200)
@@ -72,10 +72,10 @@ def test_front_matter(spark, content, title, body):
 def test_files_round_trip(spark, tmp_path):
     rows = frame(spark, note(1, 'Say: "hi" \\', "body\n\nmore", 5, tags=["a", "b"], pinned=True, path="x/1.md"), note(2, "plain", "", 6, path="2.md", title_manual=True))
     root = str(tmp_path / "vault")
-    assert files.write_files(files.rendered(rows), root) == 2
+    assert note_files.write_files(note_files.rendered(rows), root) == 2
     (tmp_path / "vault" / ".trash").mkdir()
     (tmp_path / "vault" / ".trash" / "old.md").write_text("gone")
-    back = {r.id: r for r in files.parse(files.scan(spark, root)).collect()}
+    back = {r.id: r for r in note_files.parse(note_files.scan(spark, root)).collect()}
     assert set(back) == {"1", "2"}
     for r in rows.collect():
         b = back[r.id]
@@ -200,3 +200,22 @@ def test_stream(spark, tmp_path, workspace):
     arriving = spark.readStream.schema("doc_id bigint, text string").parquet(source)
     corrected_stream(arriving, workspace.resources, workspace.settings, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(90)
     assert {r.doc_id: r.corrected for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "the", 2: "ok"}
+
+
+def test_workspace_files(workspace, tmp_path):
+    w, files = workspace, tmp_path / "ws" / "files"
+    a = w.create_note("# First\nfox")
+    path = w.load_note(a)["path"]
+    assert (files / path).read_text().endswith("# First\nfox")
+    (files / path).write_text((files / path).read_text().replace("fox", "edited elsewhere"))
+    n = w.load_note(a)
+    assert n["body"] == "# First\nedited elsewhere" and n["opened_count"] == 1
+    w.save_note(n | {"body": "# Second\nfox"})
+    assert w.load_note(a)["path"] == path and (files / path).read_text().endswith("# Second\nfox")
+    w.trash_note(a)
+    assert not (files / path).exists() and (files / ".trash" / path).exists() and w.load_note(a) is None
+    b = w.create_note("gone")
+    (files / w.load_note(b)["path"]).unlink()
+    assert w.load_note(b) is None
+    with pytest.raises(ValueError):
+        note_files.write_files(w.spark.createDataFrame([("x.md", b"1"), ("x.md", b"2")], "path string, content binary"), str(tmp_path / "two"))
