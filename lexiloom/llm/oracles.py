@@ -53,4 +53,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL = {"op2_quality": QUALITY, "op5_jaccard_join": JACCARD, "op6_decontaminate": DECONTAMINATION}
+#: The checksum that chooses the damage, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: The edits by a forward search: for every row and state of the grammar (0 nothing, 1 system, 2 user, 3 assistant) the least cost and, of that, the least letters.
+CONVERSATIONS = rf"""
+WITH RECURSIVE jump(s, t, c, x) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
+move(t, u, role, x) AS (VALUES (0, 1, 's', 'K'), (0, 2, 'u', 'K'), (1, 2, 'u', 'K'), (2, 3, 'a', 'K'), (3, 2, 'u', 'K'), (0, 2, '', 'R'), (1, 2, '', 'R'), (2, 3, '', 'R'), (3, 2, '', 'R'), (0, 0, '', 'D'), (1, 1, '', 'D'), (2, 2, '', 'D'), (3, 3, '', 'D')),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, {_CRC32} % 20 AS kind FROM keyed),
+after AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS time FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), time) AS i, rtrim(text, {_BLANKS}) AS trimmed FROM after),
+rows_ AS (SELECT *, left(role, 1) AS r, CASE WHEN trimmed = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(trimmed, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault FROM numbered),
+facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM rows_) GROUP BY conv_id),
+walk(conv_id, i, s, best) AS (SELECT conv_id, 0, 0, '000000000' FROM facts
+  UNION ALL SELECT w.conv_id, w.i + 1, m.u, min(printf('%09d', left(w.best, 9)::BIGINT + j.c + CASE m.x WHEN 'K' THEN 0 WHEN 'R' THEN 1 ELSE 2 END + CASE WHEN m.x <> 'D' AND r.fault = 1 THEN 5 ELSE 0 END) || substr(w.best, 10) || j.x || m.x)
+  FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN jump j ON j.s = w.s JOIN move m ON m.t = j.t AND (m.x = 'D' OR r.fault < 2) AND (m.x <> 'K' OR m.role = r.r) GROUP BY w.conv_id, w.i, m.u),
+done AS (SELECT conv_id, left(best, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM (SELECT w.conv_id, min(printf('%09d', left(w.best, 9)::BIGINT + j.c) || substr(w.best, 10) || j.x) AS best FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i JOIN jump j ON j.s = w.s AND j.t IN (0, 3) GROUP BY w.conv_id)),
+letter AS (SELECT conv_id, j, audit[j] AS x FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM done)),
+placed AS (SELECT *, count(*) FILTER (x <> 'I') OVER w AS i, count(*) FILTER (x <> 'D') OVER w AS o FROM letter WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+kept AS (SELECT p.conv_id, o, x, CASE WHEN x = 'I' THEN '' ELSE text END AS text, role, bool_or(x = 'K' AND r = 's') OVER (PARTITION BY p.conv_id) AS headed FROM placed p LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE x <> 'D'),
+hashed AS (SELECT conv_id, sha256(string_agg(CASE WHEN x = 'K' THEN role WHEN (o - headed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o)) AS h FROM kept GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+SQL = {"op2_quality": QUALITY, "op5_jaccard_join": JACCARD, "op6_decontaminate": DECONTAMINATION, "op13_conversation_repair": CONVERSATIONS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, decontam, html, jaccard, license, oracles, pieces, pii, quality, sharding, tokenfile
+from lexiloom.llm import bpe, decontam, html, jaccard, license, oracles, pieces, pii, prints, quality, sharding, tokenfile, turns, whiten
 from lexiloom.session import ship, table
 
 
@@ -56,8 +56,20 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints.query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.query(table(ship(spark), sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.query(table(ship(spark), sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op9_licenses, op10_token_orc)
+    f.__name__: f for f in (op1_html_text, op2_quality, op3_token_counts, op4_sentencepiece, op5_jaccard_join, op6_decontaminate, op7_pii, op8_hilbert_shards, op9_licenses, op10_token_orc, op11_fingerprints, op12_whitening, op13_conversation_repair)
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
