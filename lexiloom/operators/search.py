@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,9 +131,9 @@ def build(notes: DataFrame, key: str = "id") -> Index:
     return Index(documents, posts, cut.select(key, "body"), totals, key)
 
 
-def phrase_counts(index: Index, phrases: list[Phrase]) -> DataFrame:
-    """(key, phrase, t, b): how often each phrase occurs in titles and bodies; only documents that have it. A part
-    of a phrase stands as far from the first one as in the phrase."""
+def phrase_hits(index: Index, phrases: list[Phrase]) -> DataFrame:
+    """(key, column, phrase, at): every place where a phrase begins. A part of a phrase stands as far from the first
+    one as in the phrase."""
     wanted = [(i, k, part, p.prefix and k == len(p.parts) - 1) for i, p in enumerate(phrases) for k, part in enumerate(p.parts)]
     test = lambda part, prefix: F.col("term").startswith(part) if prefix else F.col("term") == part
     any_of = F.lit(False)
@@ -143,8 +144,12 @@ def phrase_counts(index: Index, phrases: list[Phrase]) -> DataFrame:
     begins = F.transform("positions", lambda at: at - F.col("part"))
     rows = rows.select(index.key, "column", "phrase", "part", F.explode(begins).alias("at")).distinct()
     size = F.element_at(F.create_map(*(F.lit(x) for i, p in enumerate(phrases) for x in (i, len(p.parts)))), F.col("phrase"))
-    whole = rows.groupBy(index.key, "column", "phrase", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
-    return whole.groupBy(index.key, "phrase").agg(F.count_if(F.col("column") == "title").alias("t"), F.count_if(F.col("column") == "body").alias("b"))
+    return rows.groupBy(index.key, "column", "phrase", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size).drop("n")
+
+
+def phrase_counts(hits: DataFrame, key: str = "id") -> DataFrame:
+    """(key, phrase, t, b): how often each phrase occurs in titles and bodies; only documents that have it."""
+    return hits.groupBy(key, "phrase").agg(F.count_if(F.col("column") == "title").alias("t"), F.count_if(F.col("column") == "body").alias("b"))
 
 
 def search_index(index: Index, query: str, variants: tuple[str, ...] = (), limit: int | None = LIMIT) -> DataFrame:
@@ -154,7 +159,8 @@ def search_index(index: Index, query: str, variants: tuple[str, ...] = (), limit
     phrases = list(dict.fromkeys(p for g in groups for p in g))
     if not phrases:
         return index.documents.select(key, "title", "updated_at", "pinned", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
-    counts = phrase_counts(index, phrases)
+    hits_ = phrase_hits(index, phrases)
+    counts = phrase_counts(hits_, key)
     wide = counts.groupBy(key).agg(*(F.coalesce(F.max(F.when(F.col("phrase") == i, F.col(c))), F.lit(0)).alias(f"_{c}{i}") for i in range(len(phrases)) for c in "tb"))
     having = counts.groupBy().agg(*(F.count_if(F.col("phrase") == i).alias(f"_n{i}") for i in range(len(phrases))))
     totals = index.totals.select(F.struct(F.col("N").alias("_N"), F.col("D").alias("_D")))
@@ -163,24 +169,39 @@ def search_index(index: Index, query: str, variants: tuple[str, ...] = (), limit
     found = rows.where(matched).withColumn("score", score).select(key, "title", "updated_at", "pinned", "score")
     order = (F.col("pinned").desc(), F.col("score"), F.col(key))
     shown = found.orderBy(*order).limit(limit) if limit is not None else found
-    out = shown.join(index.bodies, key).select(key, "title", "updated_at", "pinned", snippet(F.col("body"), phrases).alias("snippet"), "score")
+    places = hits_.where(F.col("column") == "body").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "phrase"))).alias("_hits"))
+    out = shown.join(places, key, "left").join(index.bodies, key).select(key, "title", "updated_at", "pinned", snippet(F.col("body"), F.col("_hits"), phrases).alias("snippet"), "score")
     return out.orderBy(*order) if limit is not None else out
 
 
-def hits(words: Column, p: Phrase) -> Column:
-    """How often a phrase occurs in an array of terms."""
+def begins(words: Column, p: Phrase) -> Column:
+    """The places from 0 in an array of terms where a phrase begins."""
 
     def at(i: Column) -> Column:
         found = None
         for k, part in enumerate(p.parts):
-            term = F.try_element_at(words, i + k)
+            term = F.try_element_at(words, i + k + 1)
             same = term.startswith(part) if p.prefix and k == len(p.parts) - 1 else term == part
             found = same if found is None else found & same
         return F.coalesce(found, F.lit(False))
 
+    return F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
+
+
+def hits(words: Column, p: Phrase) -> Column:
+    """How often a phrase occurs in an array of terms."""
     if len(p.parts) == 1:
         return F.size(F.filter(words, lambda t: t.startswith(p.parts[0]) if p.prefix else t == p.parts[0]))
-    return F.when(F.size(words) > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), at))).otherwise(0)
+    return F.size(begins(words, p))
+
+
+def hit_list(words: Column, phrases: list[Phrase]) -> Column:
+    """(at, phrase) of every hit in an array of terms, by place."""
+
+    def of(i: int, p: Phrase) -> Column:
+        return F.transform(begins(words, p), lambda at: F.struct(at.alias("at"), F.lit(i).alias("phrase")))
+
+    return F.sort_array(F.concat(*(of(i, p) for i, p in enumerate(phrases))))
 
 
 def search(index: DataFrame, query: str, variants: tuple[str, ...] = (), limit: int | None = LIMIT, key: str = "id") -> DataFrame:
@@ -191,14 +212,14 @@ def search(index: DataFrame, query: str, variants: tuple[str, ...] = (), limit:
     if not phrases:
         return index.select(key, "title", "updated_at", "pinned", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
     counted = index.withColumns({f"_t{i}": hits(F.col("title_terms"), p) for i, p in enumerate(phrases)} | {f"_b{i}": hits(F.col("body_terms"), p) for i, p in enumerate(phrases)})
-    slim = counted.select(key, "title", "body", "updated_at", "pinned", "trashed_at", "n_terms", *(f"_{c}{i}" for i in range(len(phrases)) for c in "tb"))
+    slim = counted.select(key, "title", "body", "body_terms", "updated_at", "pinned", "trashed_at", "n_terms", *(f"_{c}{i}" for i in range(len(phrases)) for c in "tb"))
     seen = lambda i: (F.col(f"_t{i}") + F.col(f"_b{i}")) > 0
     stats = slim.agg(F.count(F.lit(1)).alias("_N"), F.avg("n_terms").alias("_D"), *(F.count_if(seen(i)).alias(f"_n{i}") for i in range(len(phrases))))
     rows = slim.withColumn("_s", stats.select(F.struct(*stats.columns)).scalar())
     score, matched = _score(groups, phrases, lambda n: F.col(f"_s.{n}"))
     found = rows.where(matched & F.col("trashed_at").isNull()).withColumn("score", score)
-    out = found.select(key, "title", "updated_at", "pinned", snippet(F.col("body"), phrases).alias("snippet"), "score")
-    return out.orderBy(F.col("pinned").desc(), "score", key).limit(limit) if limit is not None else out
+    found = found.orderBy(F.col("pinned").desc(), "score", key).limit(limit) if limit is not None else found
+    return found.select(key, "title", "updated_at", "pinned", snippet(F.col("body"), hit_list(F.col("body_terms"), phrases), phrases).alias("snippet"), "score")
 
 
 def _score(groups: list[Group], phrases: list[Phrase], stat) -> tuple[Column, Column]:
@@ -218,18 +239,54 @@ def _score(groups: list[Group], phrases: list[Phrase], stat) -> tuple[Column, Co
     return score, matched
 
 
-def snippet(body: Column, phrases: list[Phrase], size: int = SNIPPET_TOKENS) -> Column:
-    """About `size` words of the body from just before the first hit, hits marked. Which window is best
-    is this function's own choice."""
-    words = F.filter(F.split(F.coalesce(body, F.lit("")), r"\s+"), lambda w: w != "")
-    bare = lambda w: F.regexp_replace(plain(w), r"[^\p{L}\p{N}]+", " ")
-    test = "|".join(rf"(?:^|\s){re.escape(p.parts[0])}" + ("" if p.prefix and len(p.parts) == 1 else r"(?:\s|$)") for p in phrases)
-    hit = lambda w: F.trim(bare(w)).rlike(test)
-    flags = F.transform(words, hit)
-    first = F.coalesce(F.nullif(F.array_position(flags, True), F.lit(0)).cast("int"), F.lit(1))
-    start = F.greatest(F.least(first - 2, F.size(words) - size + 1), F.lit(1))
-    shown = F.transform(F.slice(words, start, F.lit(size)), lambda w: F.when(hit(w), F.concat(F.lit(OPEN_MARK), w, F.lit(CLOSE_MARK))).otherwise(w))
-    return F.concat(F.when(start > 1, GAP).otherwise(""), F.array_join(shown, " "), F.when(start + size - 1 < F.size(words), GAP).otherwise(""))
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with the value computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def window_start(hits: Column, phrases: list[Phrase], size: int = SNIPPET_TOKENS) -> Column:
+    """The place of the hit that begins the best window: `size` terms with most different phrases whole in them, the
+    earliest of equals; null without a hit. hits: (at, phrase) by place. Each hit is compared with as many after it as a window can
+    hold, so long texts cost no more for each hit."""
+    length = F.array(*(F.lit(len(p.parts)) for p in phrases))
+    ahead = size * len(phrases)
+
+    def best(hits: Column) -> Column:
+        def score(h: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(hits, i + 1, F.lit(ahead)), lambda x: x["at"] + F.get(length, x["phrase"]) <= h["at"] + size)
+            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["phrase"]))).alias("n"), (-h["at"]).alias("back"))
+
+        return -F.array_max(F.transform(hits, score))["back"]
+
+    return let(hits, best)
+
+
+def snippet(body: Column, hits: Column, phrases: list[Phrase], size: int = SNIPPET_TOKENS) -> Column:
+    """The best window of the body as it is written, phrases marked; its beginning where nothing is hit. A window that
+    would end after the text begins earlier."""
+    pieces = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"[^\p{L}\p{N}]*[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0))  # a term and what stands before it
+    length = F.array(*(F.lit(len(p.parts)) for p in phrases))
+    found = F.coalesce(hits, F.array().cast("array<struct<at:int,phrase:int>>"))
+
+    def window(v: Column) -> Column:
+        """From the pieces and hits the pieces shown, where they begin, and the ranges of the phrases in them."""
+        start = F.greatest(F.least(F.coalesce(window_start(v["hits"], phrases, size), F.lit(0)), F.size(v["pieces"]) - size), F.lit(0))
+        return let(start, lambda s: F.struct(
+            s.alias("start"), F.slice(v["pieces"], s + 1, F.lit(size)).alias("shown"), (s + size < F.size(v["pieces"])).alias("goes_on"),
+            F.transform(F.filter(v["hits"], lambda x: (x["at"] >= s) & (x["at"] + F.get(length, x["phrase"]) <= s + size)), lambda x: F.struct((x["at"] - s).alias("a"), (x["at"] - s + F.get(length, x["phrase"])).alias("b"))).alias("near"),
+        ))
+
+    def marked(w: Column) -> Column:
+        over = lambda i, past: F.exists(w["near"], lambda x: (x["a"] + past <= i) & (i < x["b"]))
+
+        def shown(piece: Column, i: Column) -> Column:
+            gap = F.when(i > 0, F.regexp_extract(piece, r"^[^\p{L}\p{N}]*", 0)).otherwise("")
+            opens, closes = over(i, 0) & ~over(i, 1), over(i, 0) & ~over(i + 1, 1)
+            return F.concat(gap, F.when(opens, OPEN_MARK).otherwise(""), F.regexp_replace(piece, r"^[^\p{L}\p{N}]+", ""), F.when(closes, CLOSE_MARK).otherwise(""))
+
+        return F.concat(F.when(w["start"] > 0, GAP).otherwise(""), F.array_join(F.transform(w["shown"], shown), ""), F.when(w["goes_on"], GAP).otherwise(""))
+
+    return let(let(F.struct(pieces.alias("pieces"), found.alias("hits")), window), marked)
 
 
 def bm25(n: int, total: int, frequency: float, length: float, mean: float) -> float:

@@ -79,3 +79,33 @@ def test_list_lines(col):
 def test_byte_offsets(col):
     t = "aé😀b"
     assert [col(T.utf16_of_byte(F.col("t"), F.lit(k)), t=t) for k in range(9)] == [0, 1, None, 2, None, None, None, 4, 5]
+
+
+def plain_snippet(body, hits, sizes, n=search.SNIPPET_TOKENS):
+    """The window with most different phrases, found by trying every one; hits: (at, phrase)."""
+    import regex
+
+    terms = [m.span() for m in regex.finditer(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*", body)]
+    inside = lambda s: {p for a, p in hits if s <= a and a + sizes[p] <= s + n}
+    most = max((len(inside(s)) for s in range(len(terms))), default=0)
+    start = next((s for s in sorted({a for a, _ in hits}) if len(inside(s)) == most), 0)
+    start = max(min(start, len(terms) - n), 0)
+    near = [(a, a + sizes[p]) for a, p in hits if start <= a and a + sizes[p] <= start + n]
+    out = ""
+    for k in range(start, min(start + n, len(terms))):
+        covered, joined, goes_on = (any(test(a, b) for a, b in near) for test in (lambda a, b: a <= k < b, lambda a, b: a < k < b, lambda a, b: a < k + 1 < b))  # noqa: B023
+        out += (body[terms[k - 1][1] : terms[k][0]] if k > start else "") + ("«" if covered and not joined else "") + body[terms[k][0] : terms[k][1]] + ("»" if covered and not goes_on else "")
+    return ("…" if start else "") + out + ("…" if start + n < len(terms) else "")
+
+
+def test_snippets_equal_trying_every_window(spark):
+    rng = random.Random(9)
+    words = ["red", "Réd", "house", "wells", "x", "y", "known,", "well-known", "(it's)", "éte", "日本", "\n", "--"]
+    bodies = ["", None, "red", "x " * 40 + "red house", *(" ".join(rng.choices(words, k=rng.randint(0, 70))) for _ in range(150))]
+    phrases = [search.Phrase(("red",), False), search.Phrase(("well", "known"), False), search.Phrase(("hou",), True), search.Phrase(("it", "s", "red"), False)]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    listed = search.hit_list(search.terms(F.coalesce("body", F.lit(""))), phrases)
+    got = rows.select("n", "body", listed.alias("hits"), search.snippet(F.col("body"), listed, phrases).alias("snippet")).collect()
+    assert sum(len(r.hits) for r in got) > 100
+    for r in got:
+        assert r.snippet == plain_snippet(r.body or "", [tuple(h) for h in r.hits], [len(p.parts) for p in phrases]), r
