@@ -1,8 +1,10 @@
 """A folder of notes with the commands of a note application, each as one DataFrame job.
 
-A note is a Markdown file under `root`/files; the note table beside it, one folder for each version, is its index: a
-command reads the newest and writes the next, so a reader never meets half a change. Loading reads the file, which
-may have been edited elsewhere. Trashed files go to files/.trash. Personal words and undone corrections are tables too.
+A note is a Markdown file under `root`/files. The note table beside it is in buckets of ids: a command writes the buckets of the
+notes that it changes and then the table's next state, so a reader never meets half a change, and of two writers
+at once the second gets a Conflict. The search index follows the table: a search first brings it up to date with what changed
+since, which is nothing for most. Loading reads the file, which may have been edited elsewhere. Trashed files go to
+files/.trash. Personal words and undone corrections are tables too, one folder for each version.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from lexiloom.operators import correct, search, store
+from lexiloom.operators.segments import SegmentIndex
 from lexiloom.session import ship
 from lexiloom.sources import export, notes as note_files
+from lexiloom.sources.buckets import BucketTable
 
 
 def _now() -> int:
@@ -32,6 +36,8 @@ class Workspace:
 
     def __post_init__(self) -> None:
         ship(self.spark)
+        self.table = BucketTable(self.spark, f"{self.root}/notes", store.SCHEMA)
+        self.index = SegmentIndex(self.spark, f"{self.root}/index")
 
     # --- state ---------------------------------------------------------------------------
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -49,7 +55,12 @@ class Workspace:
         df.write.parquet(f"{self.root}/{name}/version={time.time_ns()}")
 
     def notes(self) -> DataFrame:
-        return self._read("notes", store.SCHEMA)
+        return self.table.read()
+
+    def _note(self, note_id: str) -> DataFrame:
+        """The row of a note, from its bucket."""
+        one = self.spark.createDataFrame([(note_id,)], "id string")
+        return self.table.read({one.select(self.table.bucket_of()).first()[0]}).where(F.col("id") == note_id)
 
     def user_words(self) -> DataFrame:
         return self._read("user_words", "word string, added_at bigint")
@@ -109,12 +120,12 @@ class Workspace:
 
     def load_note(self, note_id: str) -> dict | None:
         """The note as its file has it, counted as opened; None if there is none or it is in the trash."""
-        row = store.live(self.notes()).where(F.col("id") == note_id).first()
+        row = store.live(self._note(note_id)).first()
         on_disk = row and self._file(row.path)
         if on_disk is None:
             return None
         opens = self.spark.createDataFrame([(note_id, _now())], "id string, ts bigint")
-        self._write("notes", store.touched(self.notes(), opens))
+        self.table.change(opens, lambda old: store.touched(old, opens))
         return row.asDict() | on_disk | {"id": note_id}
 
     def create_note(self, body: str) -> str:
@@ -122,7 +133,7 @@ class Workspace:
         row = new.first()  # one row; its id is made once, here
         made = self.spark.createDataFrame([row], new.schema).select(*store_columns())
         self._put(made)
-        self._write("notes", store.upsert(self.notes(), made))
+        self.table.change(made, lambda old: store.upsert(old, made))
         return row.id
 
     def _put(self, notes: DataFrame) -> None:
@@ -132,41 +143,43 @@ class Workspace:
     def save_note(self, note: dict) -> None:
         """Write the note's file, under the name that it has had from the start, and index it."""
         one = self.spark.createDataFrame([tuple(note.get(c) for c in store_columns())], store.SCHEMA)
-        had = store.path_of(self.notes(), note["id"]).first()
+        had = self._note(note["id"]).select("path").first()
         ready = store.saved(one, F.lit(_now()))
         ready = ready.withColumn("path", F.lit(had.path) if had else F.coalesce("path", store.file_name(F.col("title"), F.col("id"))))
         new = note_files.rendered(ready).drop("content").select(*store_columns())
         self._put(new)
-        self._write("notes", store.upsert(self.notes(), new))
+        self.table.change(new, lambda old: store.upsert(old, new))
 
     def trash_note(self, note_id: str) -> None:
         """Mark the note as trashed and move its file, if it is there, to files/.trash."""
-        had = store.path_of(self.notes(), note_id).first()
+        had = self._note(note_id).select("path").first()
         if had is not None:
             note_files.move_file(f"{self.root}/files", had.path, f".trash/{had.path.rpartition('/')[2]}")
-        self._write("notes", store.trash(self.notes(), self.spark.createDataFrame([(note_id,)], "id string"), F.lit(_now())))
+        gone = self.spark.createDataFrame([(note_id,)], "id string")
+        self.table.change(gone, lambda old: store.trash(old, gone, F.lit(_now())))
 
     def reindex(self, folder: str) -> int:
         """The note table made anew from Markdown files."""
         parsed = note_files.parse(note_files.scan(self.spark, folder))
         new = store.rebuilt(note_files.rendered(parsed).drop("content")).select(*store_columns())
-        self._write("notes", new)
+        self.table.replace(new)
         return self.notes().count()
 
     def snapshot(self) -> None:
         store.versions(self.notes(), F.lit(_now())).write.mode("append").parquet(f"{self.root}/versions")
 
     def search_notes(self, text: str, limit: int = search.LIMIT) -> DataFrame:
-        """Search for the text and, if the corrector would change it, for its corrected form too."""
+        """Search for the text and, if the corrector would change it, for its corrected form too, in the index."""
         one = self._one(text)
         fixed = correct.apply(one, correct.check(one, self._resources(), self.settings)).first().corrected
-        return search.search(search.indexed(self.notes()), text, (fixed,) if fixed != text else (), limit)
+        self.index.refresh(self.table)
+        return search.search_index(self.index.index(self.notes()), text, (fixed,) if fixed != text else (), limit)
 
     def stats(self) -> dict[str, int]:
         return {"notes": store.count_live(self.notes()).first().n}
 
     def export_note(self, note_id: str, format_name: str, to: str) -> int:
-        return note_files.write_files(export.exported(store.live(self.notes()).where(F.col("id") == note_id), format_name), to)
+        return note_files.write_files(export.exported(store.live(self._note(note_id)), format_name), to)
 
 
 def store_columns() -> list[str]:

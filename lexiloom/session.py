@@ -38,17 +38,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back: what several branches of a
-    plan use is made once, and a lost executor costs a re-read. A local folder stands in only
-    where the setting is unset, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. A local folder stands in only where the setting is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/lexiloom-checkpoints"
-    path = f"{base.rstrip('/')}/lexiloom/{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/lexiloom/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written as Parquet in the shared folder and read back: what several branches of a plan use
+    is made once, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
