@@ -349,9 +349,13 @@ def search_typo_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, text, (fixed,) if fixed != text else ()).select("id", "title", F.round("score", 6).alias("score"))
 
 
-_HIT_WORD = "regexp_matches(trim(regexp_replace(lower(strip_accents(x)), '[^\\p{L}\\p{N}]+', ' ', 'g')), '(?:^|\\s)the(?:\\s|$)|(?:^|\\s)thin')"
-_SNIPPET = f"""(SELECT CASE WHEN st > 1 THEN '…' ELSE '' END || array_to_string(list_transform(w[st:st + 11], lambda x: CASE WHEN {_HIT_WORD} THEN '«' || x || '»' ELSE x END), ' ') || CASE WHEN st + 11 < len(w) THEN '…' ELSE '' END
- FROM (SELECT w, greatest(least(coalesce(nullif(list_position(list_transform(w, lambda x: {_HIT_WORD}), true), 0), 1) - 2, len(w) - 11), 1) AS st FROM (SELECT list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS w)))"""
+_PIECE = "[^\\p{L}\\p{N}]*[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}]*"
+#: Of the phrases `the` and `thin*`: every window of 12 terms is tried, wherever it begins.
+_SNIPPET = f"""(SELECT CASE WHEN st > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(st + 1, least(st + 12, len(w)) + 1), lambda i: CASE WHEN i > st + 1 THEN regexp_extract(w[i], '^[^\\p{{L}}\\p{{N}}]*') ELSE '' END
+  || CASE WHEN h[i] > 0 THEN '«' ELSE '' END || regexp_replace(w[i], '^[^\\p{{L}}\\p{{N}}]+', '') || CASE WHEN h[i] > 0 THEN '»' ELSE '' END), '') || CASE WHEN st + 12 < len(w) THEN '…' ELSE '' END
+ FROM (SELECT w, h, greatest(least(coalesce(list_position(list_transform(range(1, len(h) + 1), lambda i: h[i] > 0 AND n[i] = list_max(n)), true) - 1, 0), len(w) - 12), 0) AS st
+ FROM (SELECT w, h, list_transform(range(1, len(h) + 1), lambda i: len(list_distinct(list_filter(h[i:i + 11], lambda x: x > 0)))) AS n
+ FROM (SELECT regexp_extract_all(body, '{_PIECE}') AS w, list_transform(bt, lambda x: CASE WHEN x = 'the' THEN 1 WHEN starts_with(x, 'thin') THEN 2 ELSE 0 END) AS h))))"""
 
 
 @query("SELECT id, snippet, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '«', '<mark>'), '»', '</mark>') AS html FROM (" + _bm25_sql([[("the", False), ("thin", True)]], f"id, {_SNIPPET} AS snippet") + ")")
@@ -515,4 +519,4 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-from lexiloom import unit_queries  # noqa: E402, F401  it adds its queries to the two tables
+from lexiloom import harness_queries, unit_queries  # noqa: E402, F401  they add their queries to the two tables
