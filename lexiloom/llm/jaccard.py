@@ -268,51 +268,39 @@ def common_order(docs: DataFrame, sets: DataFrame, bitmap_bits: int = BITMAP_BIT
     return Order(bits, bitmap, keys[order].astype(np.uint64), freq[order], boundary)
 
 
-POSTING = "key bigint, salt int, doc bigint, n bigint, again bigint, after bigint"
+POSTED = "doc bigint, n bigint, again bigint, keys array<bigint>, salts array<int>, after array<bigint>, z binary, sketch array<int>"
 
 
 def _poster(shared):
-    """Postings: key, salt, doc, n, how many of its shingles occur again, and how many of them come after."""
+    """Documents that post anything, one of equal sets of a task: what is posted (keys, salts, and how many of the shingles that
+    occur again come after each), the compressed text, how many shingles occur again, and how many of these are in each of SKETCH
+    equal parts of the fingerprints. Postings and texts come from one reading, so that both are of the same documents
+    whatever the order in which a task meets equal sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.begin()
-        order, seen = shared.value, _Seen()
+        order, seen, press = shared.value, _Seen(), zstandard.ZstdCompressor(level=1)
         for batch in it:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, _, sets in _sets_of(batch):
-                keys, salts, sizes, docs, afters = [], [], [], [], []
+                rows, keys, salts, afters, texts, parts = [], [], [], [], [], []
                 for i, s in enumerate(sets):
-                    if not len(s):
-                        continue
                     k, hot, after, again = order.keys(s)
-                    if len(k) and seen.new(s):
-                        doc = int(ids[a + i])
-                        keys.append(k)
-                        salts.append(np.where(hot, 1 + hash(doc) % SALT, 0))
-                        docs.append((doc, len(s), again))
-                        sizes.append(len(k))
-                        afters.append(after)
-                if keys:
-                    rest = np.repeat(np.array(docs, np.int64), sizes, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T), pa.array(np.concatenate(afters))], ["key", "salt", "doc", "n", "again", "after"])
-
-    return run
-
-
-def _texts(shared):
-    """(doc, z, sketch) of documents that post anything: the compressed text, and how many of the
-    set's shingles that occur again are in each of SKETCH equal parts of the fingerprints."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.begin()
-        order, seen, press = shared.value, _Seen(), zstandard.ZstdCompressor(level=1)
-        for batch in it:
-            text = batch.column(1)
-            for a, _, sets in _sets_of(batch):
-                keep = [i for i, s in enumerate(sets) if len(order.keys(s)[0]) and seen.new(s)]
-                if keep:
-                    parts = [np.bincount((sets[i][order.levels(sets[i]) > 0] >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) for i in keep]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + i for i in keep])), pa.array([press.compress(text[a + i].as_buffer()) for i in keep], pa.binary()), pa.array(parts, pa.list_(pa.int32()))], ["doc", "z", "sketch"])
+                    if not len(k) or not seen.new(s):
+                        continue
+                    doc = int(ids[a + i])
+                    rows.append((doc, len(s), again))
+                    keys.append(k)
+                    salts.append(np.where(hot, 1 + hash(doc) % SALT, 0))
+                    afters.append(after)
+                    texts.append(press.compress(text[a + i].as_buffer()))
+                    parts.append(np.bincount((s[order.levels(s) > 0] >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH))
+                if rows:
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
+                    listed = lambda x, t: pa.ListArray.from_arrays(ends, pa.array(x, t))  # noqa: B023, E731
+                    lists = [listed(np.concatenate(keys).view(np.int64), pa.int64()), listed(np.concatenate(salts), pa.int32()), listed(np.concatenate(afters), pa.int64())]
+                    columns = [*(pa.array(np.ascontiguousarray(c)) for c in np.array(rows, np.int64).T), *lists, pa.array(texts, pa.binary()), pa.array(parts, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTED.split(", ")])
 
     return run
 
@@ -438,11 +426,13 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
     order = common_order(known, sets, **limits)
     shared = spark.sparkContext.broadcast(order)
     del order
-    postings = known.mapInArrow(_poster(shared), POSTING).repartition("key", "salt").sortWithinPartitions("key", "salt", "doc")
+    posted = cut(known.mapInArrow(_poster(shared), POSTED), "posted")
+    shared.destroy()
+    each = posted.select(F.explode(F.arrays_zip("keys", "salts", "after")).alias("p"), "doc", "n", "again")
+    postings = each.select(F.col("p.keys").alias("key"), F.col("p.salts").alias("salt"), "doc", "n", "again", F.col("p.after").alias("after")).repartition("key", "salt").sortWithinPartitions("key", "salt", "doc")
     same_list = [c.split()[0] for c in LIST.split(", ") if c != "after bigint"]  # of keys with the same documents the first in the order is left
     lists = cut(postings.mapInArrow(_scan, LIST).groupBy(*same_list).agg(F.max("after").alias("after")), "lists")
-    texts = cut(known.mapInArrow(_texts(shared), "doc bigint, z binary, sketch array<int>"), "texts")
-    shared.destroy()
+    texts = posted.select("doc", "z", "sketch")
 
     top = lists.where("salt > 0").groupBy("key").agg(F.min(F.struct("pivot", "pivot_n", "pivot_again")).alias("top"))
     across = lists.where("salt > 0 AND doc = pivot").join(top, "key").select(F.col("top.pivot").alias("pivot"), F.col("top.pivot_n").alias("pivot_n"), F.col("top.pivot_again").alias("pivot_again"), "doc", "n", "again")
@@ -483,7 +473,7 @@ def join_components(docs: DataFrame, **limits: int) -> DataFrame:
     same = equal.join(parts, ["digest", "part"]).select(F.col("doc_id").alias("u"), "v")
     same = same.unionByName(parts.join(whole, "digest").select(F.col("v").alias("u"), F.col("w").alias("v"))).where("u <> v")
     found = components(links.unionByName(same))  # written: nothing below reads what comes before
-    discard(lists, texts, salted, *written)
+    discard(lists, posted, salted, *written)
     return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -50,10 +50,11 @@ def _table(separators: set[int], lower: bool) -> np.ndarray:
 
 
 _BLANKS = {0x20, *range(0x09, 0x0E)}
-#: `[^\x20\x09-\x0D]+`; a NUL byte maps to 0x01 so that it stays inside its word.
+#: `[^\x20\x09-\x0D]+`. A NUL byte stays inside its word: as 0x01 where equal words are confirmed by bytes, as a symbol of its own where not.
 PLAIN_WORDS = _table(_BLANKS, False)
-LOWER_WORDS = _table(_BLANKS, True)
-PLAIN_WORDS[0] = LOWER_WORDS[0] = 1
+PLAIN_WORDS[0] = 1
+LOWER_WORDS = _table(_BLANKS, True).astype(np.uint16)
+LOWER_WORDS[0] = 256
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
 ALNUM_WORDS = _table({*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}, True)
 
