@@ -6,12 +6,16 @@ after it. The lines of a pair are aligned by their longest common subsequence, a
 deleted: menus, notices and footers that the site repeats. Zones that markup names as not of the
 article (nav, aside, form, class="ad", comments ...) are deleted even where no neighbour repeats them.
 
-Two things keep shared lines. Lines inside an explicit <article> stay: articles quote one another, and what an
-author puts there is the text. And a neighbour may be a copy of the page: a pair that shares COPY of both is alike,
+Two things keep shared lines. Inside an explicit <article> a line goes only if nearly all neighbours share it, IN_MOST of
+them and at least MOST: articles quote one another, and a quotation stands in few pages, a site's own line in all. And a neighbour may be
+a copy of the page: a pair that shares COPY of both is alike,
 and an alike neighbour deletes only where it shares less than half of what unlike neighbours leave, so that a
 site whose pages are mostly menu is told from copies. Where all neighbours are alike, three or more of them
 delete what two of them share if enough is left.
 
+Markup is believed as far as it goes: elements and roles always, classes and ids on boxes. Names that only say where a box
+stands (side, bottom, banner ...), and forms, which some sites put around the whole page, count only if the box holds less text than what is outside of it.
+
 Pages travel once, as compressed lines, to the task of their run of the order of (host, path, page): the
 order's boundaries come from the keys alone, and the few pages before and after a run go to it
 as well. So each page is parsed once, no fingerprint stands in for a line, and a host of any size is dealt over all tasks.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import html as references
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +46,8 @@ from lexiloom.session import ship
 COPY = 0.8
 #: What must be left of a page all of whose neighbours are alike.
 OWN_CHARS, OWN_SHARE = 200, 0.05
+#: A line inside an article is the site's own if so many of the neighbours that aren't copies share it.
+IN_MOST, MOST = 5 / 6, 4
 #: Places before and after a page at which its neighbours stand.
 NEAR = (1, 2, 4)
 #: Runs of the order are at least this long.
@@ -57,13 +64,18 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOT_MAIN = frozenset("nav aside footer form menu dialog button".split())
+_NOT_MAIN = frozenset("nav aside footer menu dialog button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 _NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar side aside rail ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
     "banner cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations widget comment comments "
     "respond reply replies disqus discussion search toolbar pagination pager copyright legal form".split()
 )
+#: Names that say where a box stands rather than what it is; they count on plain boxes, and not on one that holds the text.
+_PLACES = frozenset("header banner bottom side aside rail notice notices alert share sharing social follow search discussion form".split())
+_BOXES = frozenset("div section span td center".split())
+#: Elements of running text, on which names other than those of adverts are an author's.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt".split())
 #: Names that also stand on an article's own paragraphs: they say nothing inside of it.
 _OWN_NAMES = frozenset("header legal search discussion bottom side notice notices alert copyright follow form".split())
 #: What a name may have beside it in one class: "site-footer", "share-buttons"; not "no-sidebar" or "layout-sidebar".
@@ -99,7 +111,7 @@ def _names(attributes: str) -> tuple[set[tuple[str, ...]], bool]:
 def lines_of(page: str) -> list[tuple[str, str]]:
     """(zone, text) of each block with text. Zones: x is not of the article, a inside an
     explicit article, m inside <main> alone, b anywhere else. An article or main below elements that only
-    their class or id names as not of the article is the text of a page that has less of it elsewhere."""
+    their class or id names as not of the article, or below a form, is the text of a page that has less of it elsewhere."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = [("", "b")]  # open blocks and their zones
     held: list[str] = []
@@ -157,11 +169,11 @@ def lines_of(page: str) -> list[tuple[str, str]]:
         if zone != "x":
             drops = _drops(tag, attributes, zone)
             if drops:
-                zone = "x" if drops == "x" or zone in "AMc" else "s"
+                zone = "x" if drops == "x" or zone in "AMc" else "s" if zone == "s" else drops
             elif tag == "article":
-                zone = "A" if zone in "sAM" else "c" if zone in "mc" else "a"  # c: below <main>
-            elif tag == "main" and zone in "bs":
-                zone = "M" if zone == "s" else "m"
+                zone = "A" if zone in "swfAM" else "c" if zone in "mc" else "a"  # c: below <main>
+            elif tag == "main" and zone in "bswf":
+                zone = "M" if zone in "swf" else "m"
         stack.append((tag, zone))
     if at < len(page):
         held.append(page[at:])
@@ -170,9 +182,10 @@ def lines_of(page: str) -> list[tuple[str, str]]:
 
 
 def _resolved(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Zones s (named by class alone), A and M (article and main below s) made x, a and m: the larger of A, else M,
-    counts where it has more characters than the zone that would be the text without it. Articles in a <main> that
-    says more outside of them are cards of other pages."""
+    """Zones s (named by class alone), w (named by its place alone), f (in a form), A and M (article and main below these)
+    made x, a, m and b. The larger of A, else M, counts where it has more characters than the zone that would be the text
+    without it. Articles in a <main> that says more outside of them are cards of other pages. Without article or main, w and f
+    are open text where they hold more than what is outside."""
     zones = {z for z, _ in lines}
     if "c" in zones:
         size = dict.fromkeys("cm", 0)
@@ -183,23 +196,32 @@ def _resolved(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
         lines = [(card if z == "c" else z, t) for z, t in lines]
     if all(z in "xamb" for z, _ in lines):
         return lines
-    size = dict.fromkeys("xambsAM", 0)
+    size = dict.fromkeys("xambswfAM", 0)
     for z, t in lines:
         size[z] += len(t)
     if not any(n for z, n in size.items() if z not in "xs"):  # a class on what holds the whole text says nothing
         return [("b" if z == "s" else z, t) for z, t in lines]
-    held = size[main_zone("".join(z for z, _ in lines))]
+    main = main_zone("".join(z for z, _ in lines))
+    if main == "b":
+        for z in "wf":
+            if size[z] > size["b"]:
+                lines = [("b" if y == z else y, t) for y, t in lines]
+                size["b"] += size[z]
+    held = size[main]
     won = "" if size["a"] else "A" if size["A"] > held else "M" if size["M"] > held and not size["A"] else ""
     return [(z.lower() if z == won else z if z in "xamb" else "x", t) for z, t in lines]
 
 
 def _drops(tag: str, attributes: str, zone: str) -> str:
-    """x where the element itself isn't of the article, s where only its class or id says so, else nothing."""
+    """x where the element itself isn't of the article, s where only its class or id says so, w where these only say
+    where it stands, f for a form around other text, else nothing."""
     if tag in _NOT_MAIN:
         return "x"
     inside = zone in "acmAM"
     if tag == "header" and not inside:
         return "x"
+    if tag == "form":
+        return "x" if inside else "f"
     if not attributes or tag in ("html", "body", "main"):
         return ""
     classes, off = _names(attributes)
@@ -207,7 +229,13 @@ def _drops(tag: str, attributes: str, zone: str) -> str:
         return "x"
     if tag == "article":
         return "x" if _named(classes, _ARTICLE_NAMES) else ""
-    return "s" if _named(classes, _NAMES - _OWN_NAMES if inside else _NAMES) else ""
+    if tag in _RUNNING and inside:
+        return "s" if _named(classes, _ARTICLE_NAMES) else ""
+    if inside:
+        return "s" if _named(classes, _NAMES - _OWN_NAMES) else ""
+    if _named(classes, _NAMES - _PLACES):
+        return "s"
+    return "w" if tag in _BOXES and _named(classes, _NAMES) else ""
 
 
 def main_zone(zones: str) -> str:
@@ -298,7 +326,10 @@ def shared_by_neighbours(zones: str, sizes: list[int], marks: list[tuple[list[in
 def strike(zones: str, sizes: list[int], marks: list[tuple[list[int], bool]]) -> tuple[list[bool], set[int]]:
     """Which lines stay, and which of the others differencing deletes."""
     main = main_zone(zones)
-    gone = {i for i in shared_by_neighbours(zones, sizes, marks) if zones[i] != "a"}
+    unlike = [set(s) for s, alike in marks if not alike]
+    often = Counter(i for s in unlike for i in s)
+    own = lambda i: often[i] < max(MOST, IN_MOST * len(unlike))
+    gone = {i for i in shared_by_neighbours(zones, sizes, marks) if zones[i] != "a" or not own(i)}
     return [z == main and i not in gone for i, z in enumerate(zones)], gone
 
 
@@ -352,10 +383,11 @@ class _Page:
         sizes = [len(t) for t in self.lines]
         keep, gone = strike(self.zones, sizes, self.marks)
         text = "\n".join(t for t, k in zip(self.lines, keep, strict=True) if k)
-        return self.page, self.url, text, len(text), len({i for s, _ in self.marks for i in s}), len(gone), len(keep) - sum(keep) - len(gone)
+        main = main_zone(self.zones)
+        return self.page, self.url, text, len(text), len({i for s, _ in self.marks for i in s}), len(gone), len(keep) - sum(keep) - len(gone), sum(self.zones[i] == main for i in gone)
 
 
-OUT = "page_id bigint, url string, text string, n_chars bigint, n_shared_lines bigint, n_struck_lines bigint, n_marked_lines bigint"
+OUT = "page_id bigint, url string, text string, n_chars bigint, n_shared_lines bigint, n_struck_lines bigint, n_marked_lines bigint, n_only_struck_lines bigint"
 
 
 def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +396,7 @@ def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(pages: list[_Page]) -> pa.RecordBatch:
         rows = [p.row() for p in pages if p.own]
-        types = (pa.int64(), pa.string(), pa.string(), *(pa.int64(),) * 4)
+        types = (pa.int64(), pa.string(), pa.string(), *(pa.int64(),) * 5)
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [c.split()[0] for c in OUT.split(", ")])
 
     for batch in it:
@@ -381,9 +413,9 @@ def _differenced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, n_shared_lines, n_struck_lines, n_marked_lines): text is the article's blocks
+    """(page_id, url, text, n_chars, n_shared_lines, n_struck_lines, n_marked_lines, n_only_struck_lines): text is the article's blocks
     joined by one newline; n_shared_lines are the page's lines that a neighbour shares, n_struck_lines those that are
-    deleted for it, n_marked_lines those that only markup deletes."""
+    deleted for it, n_marked_lines those that only markup deletes, n_only_struck_lines those that markup would have left."""
     spark = ship(pages.sparkSession)
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
