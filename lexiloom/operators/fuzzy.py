@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.columns import small
 from lexiloom.functions.edits import osa_distance, typing_cost
 from lexiloom.operators.dictionary import variants
 from lexiloom.session import ship
@@ -25,17 +26,22 @@ def matches(typed: DataFrame, dictionary: DataFrame, max_edit: int) -> DataFrame
     """Distinct (typed, word, distance <= max_edit); typed has a column `typed`, the dictionary `word`."""
     ship(typed.sparkSession)
     left = variants(typed.select(F.lower("typed").alias("typed")).where("typed <> ''").distinct(), max_edit, "typed")
-    right = variants(dictionary.select("word"), max_edit)
-    near = left.join(right, "variant").where(F.abs(F.length("typed") - F.length("word")) <= max_edit).select("typed", "word").distinct()
+    return within(left.join(variants(dictionary.select("word"), max_edit), "variant"), max_edit)
+
+
+def within(joined: DataFrame, max_edit: int) -> DataFrame:
+    """Of (typed, word) that share a variant, once each those within max_edit, with their distance."""
+    near = joined.where(F.abs(F.length("typed") - F.length("word")) <= max_edit).select("typed", "word").distinct()
     # a transposition is two plain edits, so a pair within k has a plain distance within 2 k
     likely = near.where(F.levenshtein("typed", "word", 2 * max_edit) >= 0)
     return likely.withColumn("distance", osa_distance("typed", "word")).where(F.col("distance") <= max_edit)
 
 
-def candidates(typed: DataFrame, dictionary: DataFrame, max_edit: int = 2, n: int | None = RESULTS) -> DataFrame:
+def candidates(typed: DataFrame, dictionary: DataFrame, max_edit: int = 2, n: int | None = RESULTS, found: DataFrame | None = None) -> DataFrame:
     """typed, word, distance, cost, freq, log_prob, score and place among the typed word's first n:
-    an equal word first, then by score, then by word. n: a top-n report; None gives all."""
-    found = matches(typed, dictionary, max_edit).withColumn("cost", typing_cost("typed", "word")).join(dictionary.select("word", "freq", "log_prob"), "word")
+    an equal word first, then by score, then by word. n: a top-n report; None gives all. found: matches() from
+    another source, such as a stored index of variants."""
+    found = (matches(typed, dictionary, max_edit) if found is None else found).withColumn("cost", typing_cost("typed", "word")).join(dictionary.select("word", "freq", "log_prob"), "word")
     scored = found.withColumn("score", F.col("log_prob") - COST_WEIGHT * F.col("cost"))
     w = Window.partitionBy("typed").orderBy((F.col("distance") == 0).desc(), F.col("score").desc(), "word")
     out = scored.withColumn("place", F.row_number().over(w))
@@ -63,7 +69,7 @@ def with_context(rows: DataFrame, pairs: DataFrame, word: str = "word") -> DataF
 
 def replaced(toks: DataFrame, table: DataFrame) -> DataFrame:
     """toks with `right`, the table's replacement of the word in any case, or null."""
-    return toks.join(F.broadcast(table.select(F.col("wrong").alias("_wrong"), "right")), F.lower("word") == F.col("_wrong"), "left").drop("_wrong")
+    return toks.join(small(table.select(F.col("wrong").alias("_wrong"), "right")), F.lower("word") == F.col("_wrong"), "left").drop("_wrong")
 
 
 def unknown_to(toks: DataFrame, user_words: DataFrame) -> DataFrame:

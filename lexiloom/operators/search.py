@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.columns import let
 from lexiloom.session import stored
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -239,11 +239,6 @@ def _score(groups: list[Group], phrases: list[Phrase], stat) -> tuple[Column, Co
     return score, matched
 
 
-def let(value: Column, made: Callable[[Column], Column]) -> Column:
-    """made(value) with the value computed once for a row, however often it is used."""
-    return F.get(F.transform(F.array(value), made), F.lit(0))
-
-
 def window_start(hits: Column, phrases: list[Phrase], size: int = SNIPPET_TOKENS) -> Column:
     """The place of the hit that begins the best window: `size` terms with most different phrases whole in them, the
     earliest of equals; null without a hit. hits: (at, phrase) by place. Each hit is compared with as many after it as a window can

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -16,10 +16,14 @@ SLANG = (("gk", "tidak"), ("yg", "yang"), ("tdk", "tidak"), ("bgt", "banget"), (
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line) of a text file or folder: n orders the lines of a file. A file is read whole, so
-    this is for resources; their lines are numbered inside one row."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("n", "line"))
+    """(n, line) of a text file or folder: n counts the lines of each file from 0. Splits of a file are read by tasks
+    of their own: a line's number is its place in its split and the number of lines in the splits before, which one row
+    for each split says."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    splits = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("file", "split", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(F.broadcast(begins), ["file", "split"]).select((F.col("place") + F.col("shift")).alias("n"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
 def replacements(lines: DataFrame) -> DataFrame:

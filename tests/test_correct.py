@@ -184,3 +184,33 @@ def test_readiness():
     assert dictionary.is_ready({"a": 5000}, ("a",))
     assert not dictionary.is_ready({"a": 4999}, ("a",))
     assert not dictionary.is_ready({"a": 9999}, ())
+
+
+def plain_edits(text, edits):
+    out, at = "", 0
+    for a, b, to in edits:
+        if a >= at and b <= len(text):
+            out, at = out + text[at:a] + to, b
+    return out + text[at:]
+
+
+def test_edits_apart_and_overlapping(spark):
+    rng, rows = random.Random(8), []
+    for i in range(200):
+        text = "".join(rng.choice("ab é😀<&") for _ in range(rng.randint(0, 40)))
+        edits = sorted((a, a + rng.choice([0, 1, 2, 9]), rng.choice(["", "X", "long"])) for a in (rng.randint(0, 45) for _ in range(rng.randint(0, 6))))
+        rows.append((i, text, edits))
+    rows += [(900, "no edits", None), (901, None, [(0, 1, "x")])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, e array<struct<char_start:int,char_end:int,to:string>>")
+    got = {r.doc_id: r.out for r in docs.select("doc_id", correct.edited(F.col("text"), F.col("e")).alias("out")).collect()}
+    assert got == {i: None if t is None else plain_edits(t, e or []) for i, t, e in rows}
+
+
+def test_thousands_of_edits_in_one_text(spark):
+    import time
+
+    n = 20_000
+    docs = spark.createDataFrame([(1, "word é " * n)], "doc_id int, text string")
+    edits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 7).cast("int").alias("char_start"), (i * 7 + 4).cast("int").alias("char_end"), F.lit("W").alias("to")))
+    began = time.time()
+    assert docs.select(correct.edited(F.col("text"), edits).alias("x")).first().x == "W é " * n and time.time() - began < 30
