@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 SNIPPET_TOKENS, OPEN_MARK, CLOSE_MARK, GAP = 12, "«", "»", "…"
 LIMIT = 50
+PREFIX_LENGTHS = (2, 3, 4)
 # ---- end of fixed values ------------------------------------------------------------------
 
 #: Letters of the Latin blocks with marks, and the letters without; made by decomposition.
@@ -98,25 +101,29 @@ def postings(notes: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy("term", key, "column").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def prefixes(post: DataFrame, lengths: tuple[int, ...] = (2, 3, 4), key: str = "id") -> DataFrame:
-    """(prefix, term): the terms that begin with each prefix of the lengths."""
-    some = post.select("term").distinct()
-    return some.select(F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring("term", F.lit(1), n)))).alias("prefix"), "term")
+def prefixes(post: DataFrame, lengths: tuple[int, ...] = PREFIX_LENGTHS, key: str = "id") -> DataFrame:
+    """(prefix, key, column, positions): for each prefix of the lengths where its terms stand, as one list. A row is made for each
+    term and length, not for each place."""
+    some = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term"))
+    rows = post.select(F.explode(F.transform(some, lambda n: F.substring("term", F.lit(1), n))).alias("prefix"), key, "column", "positions")
+    return rows.groupBy("prefix", key, "column").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 @dataclass(frozen=True)
 class Index:
     """A stored index: documents (key, title, updated_at, pinned, trashed_at, n_terms), postings (term, key, column,
-    positions) in ranges of terms, so a term or a prefix reads few of them, bodies (key, body) and one row of totals."""
+    positions) in ranges of terms, so a term or a prefix reads few of them, bodies (key, body) and one row of totals.
+    prefixes, if there, answers prefixes of PREFIX_LENGTHS letters from one row for each note and column."""
 
     documents: DataFrame
     postings: DataFrame
     bodies: DataFrame
     totals: DataFrame
     key: str = "id"
+    prefixes: DataFrame | None = None
 
 
-def build(notes: DataFrame, key: str = "id") -> Index:
+def build(notes: DataFrame, key: str = "id", with_prefixes: bool = False) -> Index:
     """Index notes: texts are cut into terms once; a note's postings are made inside its row."""
     cut = notes.select(key, "title", "body", "updated_at", "pinned", "trashed_at", terms(F.coalesce("title", F.lit(""))).alias("t"), terms(F.coalesce("body", F.lit(""))).alias("b"))
     cut = stored(cut.withColumn("n_terms", F.size("t") + F.size("b")), "terms")
@@ -128,19 +135,24 @@ def build(notes: DataFrame, key: str = "id") -> Index:
     posts = stored(posts.repartitionByRange("term").sortWithinPartitions("term", key), "postings")
     documents = stored(cut.select(key, "title", "updated_at", "pinned", "trashed_at", "n_terms"), "documents")
     totals = stored(documents.agg(F.count(F.lit(1)).alias("N"), F.avg("n_terms").alias("D")), "totals")
-    return Index(documents, posts, cut.select(key, "body"), totals, key)
+    short = stored(prefixes(posts, key=key).repartitionByRange("prefix").sortWithinPartitions("prefix", key), "prefixes") if with_prefixes else None
+    return Index(documents, posts, cut.select(key, "body"), totals, key, short)
 
 
 def phrase_hits(index: Index, phrases: list[Phrase]) -> DataFrame:
     """(key, column, phrase, at): every place where a phrase begins. A part of a phrase stands as far from the first
     one as in the phrase."""
     wanted = [(i, k, part, p.prefix and k == len(p.parts) - 1) for i, p in enumerate(phrases) for k, part in enumerate(p.parts)]
-    test = lambda part, prefix: F.col("term").startswith(part) if prefix else F.col("term") == part
-    any_of = F.lit(False)
-    for _, _, part, prefix in wanted:
-        any_of = any_of | test(part, prefix)
-    tags = F.filter(F.array(*(F.when(test(part, prefix), F.struct(F.lit(i).alias("phrase"), F.lit(k).alias("part"))) for i, k, part, prefix in wanted)), lambda x: x.isNotNull())
-    rows = index.postings.where(any_of).select(index.key, "column", "positions", F.explode(tags).alias("x")).select(index.key, "column", "positions", "x.*")
+    short = [w for w in wanted if index.prefixes is not None and w[3] and len(w[2]) in PREFIX_LENGTHS]
+
+    def of(source: DataFrame, some: list[tuple], test: Callable[[str, bool], Column]) -> DataFrame:
+        any_of = reduce(lambda a, b: a | b, (test(part, prefix) for _, _, part, prefix in some))
+        tags = F.filter(F.array(*(F.when(test(part, prefix), F.struct(F.lit(i).alias("phrase"), F.lit(k).alias("part"))) for i, k, part, prefix in some)), lambda x: x.isNotNull())
+        return source.where(any_of).select(index.key, "column", "positions", F.explode(tags).alias("x")).select(index.key, "column", "positions", "x.*")
+
+    sources = [(index.postings, [w for w in wanted if w not in short], lambda part, prefix: F.col("term").startswith(part) if prefix else F.col("term") == part)]
+    sources += [(index.prefixes, short, lambda part, prefix: F.col("prefix") == part)]
+    rows = reduce(DataFrame.unionByName, (of(*s) for s in sources if s[1]))
     begins = F.transform("positions", lambda at: at - F.col("part"))
     rows = rows.select(index.key, "column", "phrase", "part", F.explode(begins).alias("at")).distinct()
     size = F.element_at(F.create_map(*(F.lit(x) for i, p in enumerate(phrases) for x in (i, len(p.parts)))), F.col("phrase"))

@@ -26,6 +26,8 @@ APOSTROPHES = "'’"
 REASONS = ("frontmatter", "code_fence", "inline_code", "url", "email", "mention", "tag", "link_target", "has_digit", "acronym")
 TOKEN = "pos int, byte_start int, byte_end int, char_start int, char_end int, word string, reason string"
 NEIGHBOURS = "prev_word string, next_word string"
+#: Offsets as editors count them: a character outside the first plane is two units.
+UTF16 = "utf16_start int, utf16_end int"
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _LINK = re.compile(r"(?=(https://|http://|ftp://|www\.))", re.S)
@@ -188,17 +190,21 @@ class _Touched:
 def _batches(text_at: int, names: list[str], zoned: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sizes, found, at_byte, pos, before, after = [], [], [], [], [], []
+            sizes, found, at_byte, at_unit, pos, before, after = [], [], [], [], [], [], []
             for text in batch.column(text_at).to_pylist():
                 rows = _words_of(text, zoned) if text else []
                 sizes.append(len(rows))
                 found += rows
                 pos += range(len(rows))
-                if text and not text.isascii():  # bytes before each place
+                ends = np.array([x for r in rows for x in r[:2]], np.int32)
+                if text and not text.isascii():  # bytes and units before each place
                     width = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-                    at_byte.append(np.concatenate([[0], np.cumsum(1 + (width > 0x7F).astype(np.int32) + (width > 0x7FF) + (width > 0xFFFF))])[np.array([x for r in rows for x in r[:2]], np.int64)].astype(np.int32))
+                    sums = lambda n: np.concatenate([[0], np.cumsum(n)])[ends].astype(np.int32)  # noqa: B023, E731
+                    at_byte.append(sums(1 + (width > 0x7F).astype(np.int32) + (width > 0x7FF) + (width > 0xFFFF)))
+                    at_unit.append(sums(1 + (width > 0xFFFF).astype(np.int32)) if max(text) > "\uffff" else ends)
                 else:
-                    at_byte.append(np.array([x for r in rows for x in r[:2]], np.int32))
+                    at_byte.append(ends)
+                    at_unit.append(ends)
                 near = None
                 for r in rows:
                     before.append(near)
@@ -209,22 +215,22 @@ def _batches(text_at: int, names: list[str], zoned: bool):
                     near = r[2] if r[3] is None else near
                 after += reversed(back)
             keep = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            bytes_ = np.concatenate(at_byte) if at_byte else np.zeros(0, np.int32)
-            columns = [pa.array(pos, pa.int32()), pa.array(bytes_[::2]), pa.array(bytes_[1::2]), *(pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))), pa.array(before, pa.string()), pa.array(after, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(keep) for i in range(len(names)) if i != text_at), *columns], [*(n for i, n in enumerate(names) if i != text_at), *(x.split()[0] for x in f"{TOKEN}, {NEIGHBOURS}".split(", "))])
+            bytes_, units = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (at_byte, at_unit))
+            columns = [pa.array(pos, pa.int32()), pa.array(bytes_[::2]), pa.array(bytes_[1::2]), *(pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))), pa.array(before, pa.string()), pa.array(after, pa.string()), pa.array(units[::2]), pa.array(units[1::2])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(keep) for i in range(len(names)) if i != text_at), *columns], [*(n for i, n in enumerate(names) if i != text_at), *(x.split()[0] for x in f"{TOKEN}, {NEIGHBOURS}, {UTF16}".split(", "))])
 
     return run
 
 
-def tokens(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", zoned: bool = True, neighbours: bool = False) -> DataFrame:
-    """A row for each word: keys and TOKEN, and NEIGHBOURS if asked for; reason is null for words that aren't
+def tokens(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", zoned: bool = True, neighbours: bool = False, utf16: bool = False) -> DataFrame:
+    """A row for each word: keys and TOKEN, and NEIGHBOURS and UTF16 if asked for; reason is null for words that aren't
     protected. Without zones a word is protected only for what it is itself. Neighbours are found in the row's own
     text, so they need no shuffle."""
     ship(docs.sparkSession)
     some = docs.select(*keys, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.drop("_text").schema.fields)
-    out = some.mapInArrow(_batches(len(keys), some.columns, zoned), f"{kept}, {TOKEN}, {NEIGHBOURS}")
-    return out if neighbours else out.drop("prev_word", "next_word")
+    out = some.mapInArrow(_batches(len(keys), some.columns, zoned), f"{kept}, {TOKEN}, {NEIGHBOURS}, {UTF16}")
+    return out.drop(*(() if neighbours else ("prev_word", "next_word")), *(() if utf16 else ("utf16_start", "utf16_end")))
 
 
 def words(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

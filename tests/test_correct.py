@@ -214,3 +214,15 @@ def test_thousands_of_edits_in_one_text(spark):
     edits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 7).cast("int").alias("char_start"), (i * 7 + 4).cast("int").alias("char_end"), F.lit("W").alias("to")))
     began = time.time()
     assert docs.select(correct.edited(F.col("text"), edits).alias("x")).first().x == "W é " * n and time.time() - began < 30
+
+
+def test_corrections_have_utf16_places(spark, resources):
+    texts = ["teh 😀 teh é𝒳 teh", "teh", "😀😀teh", "é teh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    typos = spark.createDataFrame([("teh", "the")], "wrong string, right string")
+    r = correct.Resources(resources.primary, resources.secondary, typos, resources.slang)
+    got = [r for r in correct.check(docs, r).collect() if r["from"] == "teh"]
+    assert len(got) == 6
+    for x in got:
+        units = texts[x.doc_id].encode("utf-16-le")
+        assert units[2 * x.utf16_start : 2 * x.utf16_end].decode("utf-16-le") == "teh" and set(correct.CORRECTION) == set(x.asDict()) - {"doc_id"}

@@ -109,3 +109,16 @@ def test_snippets_equal_trying_every_window(spark):
     assert sum(len(r.hits) for r in got) > 100
     for r in got:
         assert r.snippet == plain_snippet(r.body or "", [tuple(h) for h in r.hits], [len(p.parts) for p in phrases]), r
+
+
+@pytest.mark.parametrize("query, variants", [("red hou", ()), ("well-kn", ()), ("it's well-known x", ("ho",)), ("réd", ("hous",)), ("house", ())])
+def test_prefix_rows_find_what_terms_find(notes, query, variants):
+    index = search.build(notes, with_prefixes=True)
+    plain = search.Index(index.documents, index.postings, index.bodies, index.totals)
+    said = lambda x: sorted((r.id, r.snippet, round(r.score, 9)) for r in search.search_index(x, query, variants, None).collect())
+    assert said(index) == said(plain)
+    if query == "red hou":
+        rows = index.prefixes.where("prefix = 'hou'")
+        assert rows.count() == index.postings.where("startswith(term, 'hou')").select("id", "column").distinct().count() < index.postings.where("startswith(term, 'hou')").count()
+        explained = search.phrase_hits(index, [search.Phrase(("hou",), True)])._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(prefix,hou)" in explained and "StringStartsWith" not in explained
