@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from lexiloom.sources import versions
+
 TABLE = "wrong string, right string"
 
 #: Small tables of our own, for trials and tests; real ones are read from files.
@@ -61,9 +63,13 @@ def or_empty(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def dictionary_folder(installed: str | None, source: str) -> str:
-    """The installed folder if it is there, else the one of the source tree."""
-    return installed if installed and Path(installed).is_dir() else source
+def dictionary_folder(installed: str | None, source: str, spark: SparkSession | None = None) -> str:
+    """The installed folder if it is there, else the one of the source tree. With a session the folder may be any
+    that its file systems know, given as a URI."""
+    if not installed:
+        return source
+    there = versions.is_folder(spark, installed) if spark is not None else Path(installed).is_dir()
+    return installed if there else source
 
 
 def built_in(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

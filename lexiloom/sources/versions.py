@@ -27,6 +27,11 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none if it isn't there."""
     fs, p = _at(spark, folder)

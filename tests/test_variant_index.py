@@ -84,3 +84,11 @@ def test_passes_check_only_what_changed(spark, monkeypatch):
         got = {x.doc_id: x.corrected for x in correct.fix_all(docs, r, passes=passes).collect()}
         assert got == {3: "none", 4: None, 6: ""} | some
         assert read == [[1, 2, 3, 4, 5, 6], [1, 2, 5], [1, 2, 5], [1, 5]][: passes or 9]
+
+
+def test_dictionary_folders_of_any_file_system(spark, tmp_path):
+    (tmp_path / "dict").mkdir()
+    (tmp_path / "file").write_text("x")
+    for there, want in ((f"file://{tmp_path}/dict", True), (f"file://{tmp_path}/none", False), (f"file://{tmp_path}/file", False), (str(tmp_path / "dict"), True), (None, False), ("", False)):
+        assert resources.dictionary_folder(there, "own", spark) == (there if want else "own")
+    assert resources.dictionary_folder(str(tmp_path / "dict"), "own") == str(tmp_path / "dict") and resources.dictionary_folder("/no/such", "own") == "own"
