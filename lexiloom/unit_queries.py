@@ -191,11 +191,15 @@ def _esc(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query(f"SELECT doc_id, md5({_esc('left(text, 2)')} || '<mark class=\"typo\">' || {_esc('substr(text, 3, 3)')} || '</mark>' || {_esc('substr(text, 6, 2)')} || '<mark class=\"typo weak\">' || {_esc('substr(text, 8, 3)')} || '</mark>' || {_esc('substr(text, 11)')}) AS html FROM documents WHERE length(text) >= 10")
+_FIRST_MARK = f"{_esc('left(text, 2)')} || '<mark class=\"typo\">' || {_esc('substr(text, 3, 3)')} || '</mark>'"
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN length(text) < 5 THEN {_esc('text')} WHEN length(text) < 10 THEN {_FIRST_MARK} || {_esc('substr(text, 6)')}
+ ELSE {_FIRST_MARK} || {_esc('substr(text, 6, 2)')} || '<mark class="typo weak">' || {_esc('substr(text, 8, 3)')} || '</mark>' || {_esc('substr(text, 11)')} END) AS html FROM documents""")
 def marked_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two marks by confidence in every text that is long enough; a third overlaps and is left out."""
+    """Two marks by confidence in every text, as far as it is long enough for them; a third overlaps and is left out."""
     edit = lambda a, b, c: F.struct(F.lit(a).alias("char_start"), F.lit(b).alias("char_end"), correct.confidence_class(F.lit(c)).alias("source"))
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 10")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(correct.marked_up(F.col("text"), F.array(edit(2, 5, 0.7), edit(4, 6, 0.9), edit(7, 10, 0.69)))).alias("html"))
 
 
