@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.columns import let
+
 CONTEXT = 40
 THRESHOLD = 0.5
 SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
@@ -146,16 +148,33 @@ def redact(docs: DataFrame) -> DataFrame:
     spans overlap. Columns stay as they are; a null text stays null."""
     columns = docs.columns
     spans = F.array_sort(F.concat(*(F.transform(F.col(f"pii_{k.name}"), lambda x: F.struct(x["start"], (-x["end"]).alias("neg"), x["kind"])) for k in KINDS)))
-    text = F.col("text")
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], -x["neg"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct((-x["neg"]).alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return find_spans(docs).withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(text)).select(*columns)
+    return find_spans(docs).withColumn("text", let(F.struct(spans.alias("spans"), F.col("text").alias("text")), replaced)).select(*columns)
+
+
+def replaced(v: Column) -> Column:
+    """v.text with v.spans (sorted structs of start, neg, kind) replaced, but those that begin before an earlier one ends. The
+    greatest end before each run of spans is known first, so runs are cut independently, each out of its own part of the text."""
+    spans, text = v["spans"], v["text"]
+    runs = F.sequence(F.lit(0), F.greatest(((F.size(spans) - 1) / RUN).cast("int"), F.lit(0)))
+    run = lambda i: F.slice(spans, i * RUN + 1, F.lit(RUN))
+    ends = F.transform(runs, lambda i: -F.array_min(F.transform(run(i), lambda x: x["neg"])))
+    begins = F.aggregate(ends, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.greatest(F.element_at(a, -1), n))))
+
+    def cut(x: Column) -> Column:
+        return F.aggregate(
+            run(x["i"]),
+            F.struct(x["at"].alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], -s["neg"]).alias("at"), a["out"].alias("out"))).otherwise(
+                F.struct((-s["neg"]).alias("at"), F.concat(a["out"], F.array(F.substring(x["part"], a["at"] - x["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
+            ),
+            lambda a: F.array_join(a["out"], ""),
+        )
+
+    def whole(at: Column) -> Column:
+        parts = F.transform(runs, lambda i: F.struct(i.alias("i"), F.get(at, i).alias("at"), F.substring(text, F.get(at, i) + 1, F.get(at, i + 1) - F.get(at, i)).alias("part")))
+        return F.concat(F.array_join(F.transform(parts, cut), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(begins, whole)).otherwise(text)
 
 
 def query(docs: DataFrame) -> DataFrame:
