@@ -8,13 +8,13 @@ with many ranges spreads over many tasks, and work follows the number of ranges
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.tokenize import TOKEN, overlaps, tokens, zones
+from lexiloom.operators.tokenize import PART, TOKEN, overlaps, tokens, zones
 from lexiloom.session import ship
 
 CELL = 256
@@ -39,18 +39,28 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("do
     return both.where(once & overlaps(F.col(a), F.col(b), F.col(c), F.col(d))).drop("_cell")
 
 
-def range_rows(docs: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def range_rows(docs: DataFrame, find: Callable[[str], Iterable[tuple[int, int, str]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys and ZONE of the ranges that `find` sees in every text, in code points; a table to store and join."""
     ship(docs.sparkSession)
     some = docs.select(*keys, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.drop("_text").schema.fields)
 
+    def made(batch: pa.RecordBatch, found: list[tuple[int, tuple[int, int, str]]]) -> pa.RecordBatch:
+        keep = pa.array([i for i, _ in found], pa.int64())
+        parts = [pa.array([z[k] for _, z in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(keep) for i in range(len(keys))), *parts], [*keys, *(c.split()[0] for c in ZONE.split(", "))])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [(i, z) for i, t in enumerate(batch.column(len(keys)).to_pylist()) if t for z in find(t)]
-            keep = pa.array([i for i, _ in found], pa.int64())
-            parts = [pa.array([z[k] for _, z in found], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(keep) for i in range(len(keys))), *parts], [*keys, *(c.split()[0] for c in ZONE.split(", "))])
+            found: list[tuple[int, tuple[int, int, str]]] = []
+            for i, t in enumerate(batch.column(len(keys))):
+                for z in find(t.as_py()) if t.as_py() else ():
+                    found.append((i, z))
+                    if len(found) >= PART:
+                        yield made(batch, found)
+                        found = []
+            if found:
+                yield made(batch, found)
 
     return some.mapInArrow(run, f"{kept}, {ZONE}")
 
@@ -62,7 +72,7 @@ def zone_rows(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
 
 def line_rows(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The lines of every text that aren't empty, without their newlines."""
-    return range_rows(docs, lambda t: [(*m.span(), "line") for m in re.finditer("[^\n]+", t)], keys, text)
+    return range_rows(docs, lambda t: ((*m.span(), "line") for m in re.finditer("[^\n]+", t)), keys, text)
 
 
 def labelled(words: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("doc_id",), place: str = "pos", width: int = CELL) -> DataFrame:
