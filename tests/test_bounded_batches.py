@@ -38,3 +38,30 @@ def test_memory_of_a_worker_follows_no_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 400_000 and peak < 50_000_000
+
+
+def test_files_come_in_parts(monkeypatch):
+    from lexiloom.sources import export
+
+    monkeypatch.setattr(export, "PART_BYTES", 5_000)
+    names = [f"n{i}" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(["t", None] * 20), pa.array([["one\ntwo", "three"], None] * 20), pa.array([False, None] * 20)], ["path", "title", "pages", "twice"])
+    parts = list(export._writer(export._pdf)(iter([batch])))
+    assert len(parts) > 3 and max(p.nbytes for p in parts) < 10_000
+    assert [(r["path"], r["content"]) for p in parts for r in p.to_pylist()] == [(n, export._pdf("" if i % 2 else "t", [] if i % 2 else ["one\ntwo", "three"], False)) for i, n in enumerate(names)]
+
+
+def test_texts_are_aligned_in_parts(spark, monkeypatch):
+    from lexiloom.operators import measure
+
+    seen = []
+    monkeypatch.setattr(measure, "ROWS", 3)
+    monkeypatch.setattr(measure, "paired", lambda a, b: seen.append(0) or b)
+    texts = spark.createDataFrame([(i, "a b", "a", "a b", "a b", [None, None]) for i in range(7)], "doc_id int, typed string, by_itself string, in_full string, meant string, classes array<string>")
+    run = []
+    frame = type(texts)
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema: run.append(f) or df)
+    measure.aligned(texts)
+    columns = ["doc_id", "classes", "typed", "by_itself", "in_full", "meant"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int32()), *(pa.array([["a", "b"]] * 7, pa.list_(pa.string())) for _ in columns[1:])], columns)
+    assert [p.num_rows for p in run[0](iter([batch]))] == [3, 3, 1] and len(seen) == 21
