@@ -492,14 +492,15 @@ def changed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -----------------------------------------------------------------------------------------
 @query(f"WITH {_NOTES} SELECT id, true AS same FROM notes")
 def front_matter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes rendered and parsed again, and whether anything changed."""
+    """Notes rendered and parsed again, and whether anything changed: each note stays in its row beside its file."""
     rows = plan.notes(ship(spark), sf_dir)
-    back = note_files.parse(note_files.rendered(rows).select("path", "content", F.lit(0).cast("bigint").alias("modified")))
-    both = rows.alias("a").join(back.alias("b"), "id")
+    fields = ("id", "title", "body", "created_at", "updated_at", "pinned", "archived", "tags")
+    files = note_files.rendered(rows).select("path", "content", F.lit(0).cast("bigint").alias("modified"), F.struct(*fields).alias("was"))
+    back = note_files.parse(files, kept=("was",))
     same = F.lit(True)
-    for c in ("title", "body", "created_at", "updated_at", "pinned", "archived", "tags"):
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return both.select("id", same.alias("same"))
+    for c in fields:
+        same = same & F.col(f"was.{c}").eqNullSafe(F.col(c))
+    return back.select("was.id", same.alias("same"))
 
 
 @query(f"WITH {_NOTES} SELECT id || '|' || title AS name, md5(CASE WHEN lower(trim(regexp_replace(trim(string_split(body, chr(10))[1]), '^#+', ''))) = lower(title) THEN '' ELSE title || chr(10) || chr(10) END || trim(body, chr(10))) AS content_hash FROM notes")

@@ -42,8 +42,9 @@ def split_front_matter(content: Column) -> Column:
     return F.struct(F.when(closed, parts[0]).otherwise("").alias("header"), F.when(closed, body).otherwise(bare).alias("body"))
 
 
-def parse(files: DataFrame, fallback_id: Column | None = None) -> DataFrame:
-    """Notes of (path, content, modified): unknown keys are skipped, broken values fall back."""
+def parse(files: DataFrame, fallback_id: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Notes of (path, content, modified): unknown keys are skipped, broken values fall back. kept: further columns of
+    files that stay beside the note."""
     fallback_id = F.regexp_extract("path", r"([^/]*?)(?:\.md)?$", 1) if fallback_id is None else fallback_id
     rows = files.withColumn("_f", split_front_matter(F.col("content")))
     lines = F.filter(F.transform(F.split("_f.header", "\n"), T.trimmed), lambda x: (x != "") & ~x.startswith("#") & x.contains(":"))
@@ -65,6 +66,7 @@ def parse(files: DataFrame, fallback_id: Column | None = None) -> DataFrame:
         flag("pinned").alias("pinned"),
         flag("archived").alias("archived"),
         (flag("title_manual") & (title != "")).alias("title_manual"),
+        *kept,
     )
 
 
