@@ -39,3 +39,10 @@ def test_pairs_are_aligned_some_at_a_time(monkeypatch):
     monkeypatch.setattr(edits, "CELLS", 40)
     assert whole == [edits._align(*map(list, zip(*pairs, strict=True)), w).tolist() for w in (False, True)]
     assert whole[0] == [plain_osa(a, b) for a, b in pairs]
+
+
+def test_variants_of_a_dictionary_are_not_broadcast(spark):
+    """Their size is taken for that of the words, so a large table of them went to the driver."""
+    words = spark.createDataFrame([(f"word{i}",) for i in range(50)], "word string")
+    plan = fuzzy.matches(words.withColumnRenamed("word", "typed"), words, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
